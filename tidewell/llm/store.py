@@ -6,6 +6,7 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,3 +49,8 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._tidewell_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose results are written; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
