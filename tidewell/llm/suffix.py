@@ -225,7 +225,7 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
 
 def _row(key: int, content: bytes, did: int, rank: int, start: int, anchor: int, hot: bool) -> tuple:
     h = xxh3_128_intdigest(content)
-    return _signed(key), _signed(h & _MASK), _signed(h >> 64), content, did, rank, start, anchor, hot
+    return _signed(key & _MASK), _signed(h & _MASK), _signed(h >> 64), content, did, rank, start, anchor, hot
 
 
 def _signed(x: int) -> int:
