@@ -6,15 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, decontam, lengths, simhash, suffix
+from tidewell.llm import bpe, chat, decontam, fertility, langid, lengths, ordinal, simhash, suffix, urllist
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the tokeniser-fertility verdict on every document."""
+    return fertility.assess(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document, and whether it is probably not of the lowest (toxic). Grades: 0 toxic, 1 neither, 2 of quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1)
+    model = ordinal.fit(docs, labels.select("doc_id", grade.alias("grade")), grades=3)
+    return ordinal.score(docs, model, tail=1).withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of the bytes they decode to."""
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -32,6 +46,48 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with the last answer cut in half."""
+    pairs = chat.cut_answers(chat.turns(table(spark, sf_dir, "conversations"))).withColumnRenamed("turns", "chosen")
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["from"], s["to"])), ",")
+    return chat.preferences(pairs).select(
+        "conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"), shown("chosen_spans").alias("chosen_mask"), shown("rejected_spans").alias("rejected_mask")
+    )
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations
+), a AS (
+  SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS last_i FROM t
+), b AS (
+  SELECT *, CASE WHEN i = last_i THEN text[1:length(text) // 2] ELSE text END AS cut FROM a
+), c AS (
+  SELECT *, coalesce(bool_or(cut <> text) OVER (PARTITION BY conv_id), FALSE) AS differs FROM b
+), d AS (
+  SELECT *, differs AND i >= last_i AS later, '<|' || role || '|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail FROM c
+), e AS (
+  SELECT *, sum(length(head || text || tail)) OVER w AS chosen_to, sum(length(head || cut || tail)) OVER w AS rejected_to FROM d
+  WINDOW w AS (PARTITION BY conv_id, later ORDER BY i ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) FILTER (WHERE NOT later)::BIGINT AS prompt_turns,
+  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (WHERE NOT later), '') AS prompt,
+  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (WHERE later), '') AS chosen,
+  coalesce(string_agg(head || cut || tail, '' ORDER BY i) FILTER (WHERE later), '') AS rejected,
+  coalesce(string_agg((chosen_to - length(text || tail))::BIGINT || '-' || chosen_to::BIGINT, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((rejected_to - length(cut || tail))::BIGINT || '-' || rejected_to::BIGINT, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS rejected_mask
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,6 +131,46 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(counts))
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """Dated entries on the pages' own domains: of three labels, one in four by the MD5 of its name, is listed on a day; half of these are taken off 90 days later and half of those are listed again after 200."""
+    domain = F.array_join(F.slice(F.split(urllist.host_of(F.col("url")), r"\."), -3, 3), ".")
+    three = F.size(F.split(urllist.host_of(F.col("url")), r"\.")) >= 3
+    code = F.conv(F.substring(F.md5(F.col("domain").cast("binary")), 1, 6), 16, 10).cast("int")
+    names = pages.where(three).select(domain.alias("domain")).distinct().withColumn("code", code).where("code % 4 = 0").withColumn("day", F.expr("code div 16 % 600"))
+    days = F.when(F.col("code") % 16 == 0, F.array("day", F.col("day") + 90, F.col("day") + 200)).when(F.col("code") % 8 == 0, F.array("day", F.col("day") + 90)).otherwise(F.array("day"))
+    return names.select("domain", F.posexplode(days).alias("k", "since")).select("domain", "since", (F.col("k") != 1).alias("listed"))
+
+
+def op9_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, fetched on a day that its id gives, against the list as of that day."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.pmod(F.col("page_id") * 7919, F.lit(900)).cast("int"))
+    found = urllist.evaluate(captures, url_list(pages))
+    return found.select("page_id", "host", "fetched", "blocked", "blocked_by", "blocked_since")
+
+
+OP9_SQL = r"""
+WITH capture AS (
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') AS host, (((page_id * 7919) % 900 + 900) % 900)::INT AS fetched FROM pages
+), name AS (
+  SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM capture WHERE len(string_split(host, '.')) >= 3
+), coded AS (
+  SELECT domain, ('0x' || substr(md5(domain), 1, 6))::INT AS code FROM name
+), entry AS (
+  SELECT domain, code // 16 % 600 AS since, TRUE AS listed FROM coded WHERE code % 4 = 0
+  UNION ALL SELECT domain, code // 16 % 600 + 90, FALSE FROM coded WHERE code % 8 = 0
+  UNION ALL SELECT domain, code // 16 % 600 + 200, TRUE FROM coded WHERE code % 16 = 0
+), span AS (
+  SELECT domain, since, listed, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM entry
+), hit AS (
+  SELECT page_id, domain, since, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) AS k
+  FROM capture JOIN span ON (host = domain OR ends_with(host, '.' || domain)) AND listed AND since <= fetched AND (until IS NULL OR fetched < until)
+)
+SELECT capture.page_id, host, fetched, domain IS NOT NULL AS blocked, domain AS blocked_by, since::INT AS blocked_since
+FROM capture LEFT JOIN hit ON capture.page_id = hit.page_id AND k = 1
+"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is left of every document."""
     found = suffix.repeats(table(spark, sf_dir, "documents"))
@@ -82,11 +178,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {
-    "op4_simhash": op4_simhash,
-    "op10_suffix_dedup": op10_suffix_dedup,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op7_decontamination": op7_decontamination,
-    "op8_length_histogram": op8_length_histogram,
-}
-ORACLE_SQL = {"op7_decontamination": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_ordinal_quality, op3_byte_bpe, op4_simhash, op5_language_id, op6_preference_format, op7_decontamination, op8_length_histogram, op9_url_list, op10_suffix_dedup)}
+ORACLE_SQL = {"op6_preference_format": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_url_list": OP9_SQL}
