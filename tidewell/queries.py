@@ -233,32 +233,86 @@ def scanned(name: str, ops: list[tuple], sql: str | None = None) -> None:
     _register(name, query, sql)
 
 
-def smoothing(values: dict[str, tuple[str, int, float]], more: str = "", out: dict[str, str] | None = None) -> str:
-    """SQL of exponential smoothings: name -> (series, length, weight); the seed is the mean of the first values."""
-    first = {c: f"(SELECT avg(z.{x}) FROM base z WHERE z.symbol = b.symbol AND z.k_{c} <= {n})" for c, (x, n, _) in values.items()}
-    base = "base AS (SELECT *, " + ", ".join(f"CASE WHEN {x} IS NOT NULL THEN count({x}) {win()} END AS k_{c}" for c, (x, _, _) in values.items()) + " FROM src)"
-    seeds = "seed AS (SELECT b.*, " + ", ".join(f"CASE WHEN k_{c} = {n} THEN {first[c]} END AS f_{c}" for c, (_, n, _) in values.items()) + " FROM base b)"
+def smooth(name: str, src: str, values: dict[str, tuple[str, int, float]]) -> str:
+    """CTEs that end in ``name``: src with exponential smoothings, column -> (series, length, weight), seeded by the mean of the first values."""
+    counts = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN count({x}) {win()} END AS k_{c}" for c, (x, _, _) in values.items())
+    seeds = ", ".join(f"CASE WHEN k_{c} = {n} THEN (SELECT avg(z.{x}) FROM {name}_b z WHERE z.symbol = b.symbol AND z.k_{c} <= {n}) END AS f_{c}" for c, (x, n, _) in values.items())
+    start = ", ".join(f"f_{c} AS {c}" for c in values)
     step = ", ".join(f"CASE WHEN s.k_{c} = {n} THEN s.f_{c} WHEN s.k_{c} > {n} THEN {a!r} * s.{x} + (1 - {a!r}) * r.{c} ELSE r.{c} END" for c, (x, n, a) in values.items())
-    start = ", ".join(f"CASE WHEN k_{c} = {n} THEN f_{c} END AS {c}" for c, (_, n, _) in values.items())
-    shown = out or {c: f"CASE WHEN s.k_{c} >= {n} THEN r.{c} END" for c, (_, n, _) in values.items()}
-    return f"""WITH RECURSIVE {BARS}, src AS (SELECT *{more} FROM bars), {base}, {seeds}, r AS (
-      SELECT symbol, bar_index, {start} FROM seed WHERE bar_index = 0
-      UNION ALL SELECT s.symbol, s.bar_index, {step} FROM r JOIN seed s ON s.symbol = r.symbol AND s.bar_index = r.bar_index + 1)
-    SELECT r.symbol, r.bar_index::BIGINT AS bar_index, {', '.join(f'round({v}, 6) + 0.0 AS {k}' for k, v in shown.items())} FROM r JOIN seed s USING (symbol, bar_index)"""
-
-
-TR = f", CASE WHEN bar_index = 0 THEN high - low ELSE greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END AS tr"
-scanned("ta_ema", [scan.op("ema", 9)], smoothing({"ema": ("close", 9, 2 / 10)}))
-scanned("ta_rma", [scan.op("rma", 7)], smoothing({"rma": ("close", 7, 1 / 7)}))
-scanned("ta_atr", [scan.op("atr", 14)], smoothing({"atr": ("tr", 14, 1 / 14)}, TR))
-scanned("ta_kc", [scan.op("kc", 10, 1.5, to=("mid", "up", "low_")), scan.op("kcw", 10, 1.5)], smoothing({"m": ("close", 10, 2 / 11), "a": ("tr", 10, 1 / 10)}, TR, {"mid": "CASE WHEN s.bar_index >= 9 THEN r.m END", "up": "CASE WHEN s.bar_index >= 9 THEN r.m + 1.5 * r.a END", "low_": "CASE WHEN s.bar_index >= 9 THEN r.m - 1.5 * r.a END", "kcw": "CASE WHEN s.bar_index >= 9 THEN 3 * r.a / nullif(r.m, 0) * 100 END"}))
-scanned("ta_dema", [scan.op("dema", 6)])
-scanned("ta_rsi", [scan.op("rsi", 14)])
-scanned("ta_macd", [scan.op("macd", 12, 26, 9, to=("macd", "signal", "hist"))])
-scanned("ta_tsi", [scan.op("tsi", 5, 13)])
-scanned("ta_supertrend", [scan.op("supertrend", 3.0, 10, to=("line", "direction"))])
-scanned("ta_sar", [scan.op("sar", 0.02, 0.02, 0.2)])
-scanned("ta_dmi", [scan.op("dmi", 14, 14, to=("plus", "minus", "adx"))])
+    shown = ", ".join(f"CASE WHEN s.k_{c} >= {n} THEN r.{c} END AS {c}" for c, (_, n, _) in values.items())
+    return f"""{name}_b AS (SELECT *, {counts} FROM {src}), {name}_s AS (SELECT b.*, {seeds} FROM {name}_b b),
+    {name}_r AS (SELECT symbol, bar_index, {start} FROM {name}_s WHERE bar_index = 0 UNION ALL SELECT s.symbol, s.bar_index, {step} FROM {name}_r r JOIN {name}_s s ON s.symbol = r.symbol AND s.bar_index = r.bar_index + 1),
+    {name} AS (SELECT s.*, {shown} FROM {name}_s s JOIN {name}_r r ON s.symbol = r.symbol AND s.bar_index = r.bar_index)"""
+
+
+def recursive(ctes: list[str], src: str, **shown: str) -> str:
+    return f"WITH RECURSIVE {BARS}, " + ", ".join(ctes) + " SELECT symbol, bar_index::BIGINT AS bar_index, " + ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in shown.items()) + f" FROM {src}"
+
+
+ema_ = lambda x, n: (x, n, 2 / (n + 1))
+rma_ = lambda x, n: (x, n, 1 / n)
+MOVES = f"moves AS (SELECT *, close - {lag('close')} AS d, abs(close - {lag('close')}) AS da, greatest(coalesce(close - {lag('close')}, 0), 0) AS up, greatest(coalesce({lag('close')} - close, 0), 0) AS down, CASE WHEN bar_index = 0 THEN high - low ELSE greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) END AS tr, high - {lag('high')} AS rise, {lag('low')} - low AS drop_ FROM bars)"
+scanned("ta_ema", [scan.op("ema", 9)], recursive([smooth("a", "bars", {"ema": ema_("close", 9)})], "a", ema="ema"))
+scanned("ta_rma", [scan.op("rma", 7)], recursive([smooth("a", "bars", {"rma": rma_("close", 7)})], "a", rma="rma"))
+scanned("ta_dema", [scan.op("dema", 6)], recursive([smooth("a", "bars", {"e1": ema_("close", 6)}), smooth("b", "a", {"e2": ema_("e1", 6)})], "b", dema="2 * e1 - e2"))
+scanned("ta_rsi", [scan.op("rsi", 14)], recursive([MOVES, smooth("a", "moves", {"u": rma_("up", 14), "v": rma_("down", 14)})], "a", rsi="CASE WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END"))
+scanned("ta_atr", [scan.op("atr", 14)], recursive([MOVES, smooth("a", "moves", {"atr": rma_("tr", 14)})], "a", atr="atr"))
+scanned("ta_macd", [scan.op("macd", 12, 26, 9, to=("macd", "signal", "hist"))], recursive([smooth("a", "bars", {"fast": ema_("close", 12), "slow": ema_("close", 26)}), "m AS (SELECT *, fast - slow AS macd FROM a)", smooth("b", "m", {"sig": ema_("macd", 9)})], "b", macd="macd", signal="sig", hist="macd - sig"))
+scanned("ta_tsi", [scan.op("tsi", 5, 13)], recursive([MOVES, smooth("a", "moves", {"p1": ema_("d", 13), "a1": ema_("da", 13)}), smooth("b", "a", {"p2": ema_("p1", 5), "a2": ema_("a1", 5)})], "b", tsi="CASE WHEN a2 = 0 THEN 0 ELSE p2 / a2 END"))
+scanned("ta_kc", [scan.op("kc", 10, 1.5, to=("mid", "up", "low_")), scan.op("kcw", 10, 1.5)], recursive([MOVES, smooth("a", "moves", {"m": ema_("close", 10), "r": rma_("tr", 10)})], "a", mid="m", up="m + 1.5 * r", low_="m - 1.5 * r", kcw="3 * r / nullif(m, 0) * 100"))
+scanned(
+    "ta_supertrend",
+    [scan.op("supertrend", 3.0, 10, to=("line", "direction"))],
+    recursive(
+        [
+            MOVES,
+            smooth("a", "moves", {"r": rma_("tr", 10)}),
+            "b AS (SELECT *, (high + low) / 2 + 3 * r AS bu, (high + low) / 2 - 3 * r AS bd FROM a)",
+            """st AS (SELECT symbol, bar_index, bu AS u, bd AS d_, CASE WHEN close < bd THEN -1 ELSE 1 END AS way, close AS c FROM b WHERE bar_index = 9
+            UNION ALL SELECT b.symbol, b.bar_index, CASE WHEN bu < u OR c > u THEN bu ELSE u END, CASE WHEN bd > d_ OR c < d_ THEN bd ELSE d_ END, CASE WHEN way = -1 AND close > u THEN 1 WHEN way = 1 AND close < d_ THEN -1 ELSE way END, close FROM st JOIN b ON b.symbol = st.symbol AND b.bar_index = st.bar_index + 1)""",
+            "z AS (SELECT bars.symbol, bars.bar_index, u, d_, way FROM bars LEFT JOIN st ON bars.symbol = st.symbol AND bars.bar_index = st.bar_index)",
+        ],
+        "z",
+        line="CASE WHEN way = 1 THEN d_ ELSE u END",
+        direction="coalesce(way, 0)",
+    ),
+)
+scanned(
+    "ta_sar",
+    [scan.op("sar", 0.02, 0.02, 0.2)],
+    recursive(
+        [
+            f"b AS (SELECT *, {lag('high')} AS h1, {lag('low')} AS l1, {lag('high', 2)} AS h2, {lag('low', 2)} AS l2, {lag('close')} AS c1 FROM bars)",
+            """p AS (SELECT symbol, bar_index, NULL::DOUBLE AS stop, NULL::DOUBLE AS best, NULL::DOUBLE AS rate, FALSE AS up FROM b WHERE bar_index = 0 UNION ALL
+            SELECT symbol, bar_index, CASE WHEN up3 THEN least(stop3, l1, coalesce(l2, l1)) ELSE greatest(stop3, h1, coalesce(h2, h1)) END, CASE WHEN fresh3 THEN best3 WHEN up3 THEN greatest(best3, high) ELSE least(best3, low) END, CASE WHEN NOT fresh3 AND (CASE WHEN up3 THEN high > best3 ELSE low < best3 END) THEN least(rate3 + 0.02, 0.2) ELSE rate3 END, up3 FROM (
+              SELECT *, turn OR first_ AS fresh3, up2 <> turn AS up3, CASE WHEN turn THEN (CASE WHEN up2 THEN greatest(high, best2) ELSE least(low, best2) END) ELSE stop2 END AS stop3, CASE WHEN turn THEN (CASE WHEN up2 THEN low ELSE high END) ELSE best2 END AS best3, CASE WHEN turn THEN 0.02 ELSE rate2 END AS rate3 FROM (
+                SELECT *, CASE WHEN up2 THEN stop2 > low ELSE stop2 < high END AS turn FROM (
+                  SELECT *, stop1 + rate2 * (best2 - stop1) AS stop2 FROM (
+                    SELECT b.symbol, b.bar_index, high, low, h1, l1, h2, l2, stop IS NULL AS first_, CASE WHEN stop IS NULL THEN close > c1 ELSE up END AS up2, coalesce(rate, 0.02) AS rate2, CASE WHEN stop IS NULL THEN (CASE WHEN close > c1 THEN high ELSE low END) ELSE best END AS best2, CASE WHEN stop IS NULL THEN (CASE WHEN close > c1 THEN l1 ELSE h1 END) ELSE stop END AS stop1
+                    FROM p JOIN b ON b.symbol = p.symbol AND b.bar_index = p.bar_index + 1)))))""",
+        ],
+        "p",
+        sar="stop",
+    ),
+)
+scanned(
+    "ta_dmi",
+    [scan.op("dmi", 14, 14, to=("plus", "minus", "adx"))],
+    recursive(
+        [
+            MOVES,
+            "dm AS (SELECT *, CASE WHEN rise > drop_ AND rise > 0 THEN rise ELSE 0 END AS pd, CASE WHEN drop_ > rise AND drop_ > 0 THEN drop_ ELSE 0 END AS md FROM moves)",
+            "q AS (SELECT symbol, bar_index, tr AS st, pd AS sp, md AS sm FROM dm WHERE bar_index = 14 UNION ALL SELECT dm.symbol, dm.bar_index, tr / 14 + 13 / 14.0::DOUBLE * st, pd / 14 + 13 / 14.0::DOUBLE * sp, md / 14 + 13 / 14.0::DOUBLE * sm FROM q JOIN dm ON dm.symbol = q.symbol AND dm.bar_index = q.bar_index + 1)",
+            "di AS (SELECT bars.symbol, bars.bar_index, 100 * sp / nullif(st, 0) AS plus, 100 * sm / nullif(st, 0) AS minus FROM bars LEFT JOIN q ON bars.symbol = q.symbol AND bars.bar_index = q.bar_index AND q.bar_index > 14)",
+            "dx AS (SELECT *, CASE WHEN plus + minus > 0 THEN abs(plus - minus) / (plus + minus) * 100 WHEN plus IS NOT NULL THEN 0 END AS dx FROM di)",
+            smooth("a", "dx", {"adx": rma_("dx", 14)}),
+        ],
+        "a",
+        plus="plus",
+        minus="minus",
+        adx="adx",
+    ),
+)
 scanned("math_random", [scan.op("random", 0.0, 10.0)])
 _VOLUME_INDEX = f"""WITH RECURSIVE {BARS}, src AS (SELECT *, CASE WHEN {lag('close')} <> 0 THEN (close - {lag('close')}) / {lag('close')} ELSE 0 END AS c, volume - {lag('volume')} AS d FROM bars),
 r AS (SELECT symbol, bar_index, 1::DOUBLE AS nvi, 1::DOUBLE AS pvi FROM src WHERE bar_index = 0 UNION ALL
