@@ -344,13 +344,11 @@ def last_index_of(a, v) -> Column:
 
 
 def binary_search(a, v, side: str = "") -> Column:
-    """In a sorted array: the exact index or -1; leftmost and rightmost give the place beside it."""
+    """In a sorted array: the exact index or -1; leftmost and rightmost give the places of insertion."""
     below, upto = F.size(F.filter(_c(a), lambda x: x < v)), F.size(F.filter(_c(a), lambda x: x <= v))
     there = upto > below
-    if side == "leftmost":
-        return F.when(there, below).otherwise(below - 1)
-    if side == "rightmost":
-        return F.when(there, upto - 1).otherwise(upto)
+    if side:
+        return below if side == "leftmost" else upto
     return F.when(there, below).otherwise(F.lit(-1))
 
 
@@ -378,6 +376,30 @@ def some(a) -> Column:
     return F.exists(_c(a), lambda v: F.coalesce(v != 0, F.lit(False)))
 
 
+# -- maps ---------------------------------------------------------------------------------
+
+
+def map_get(m, k, default=None) -> Column:
+    return F.coalesce(F.try_element_at(_c(m), _c(k)), _c(default)) if default is not None else F.try_element_at(_c(m), _c(k))
+
+
+def map_contains(m, k) -> Column:
+    return F.coalesce(F.map_contains_key(_c(m), _c(k)), F.lit(False))
+
+
+def map_put(m, k, v) -> Column:
+    """A map with the key set; order of first appearance stays."""
+    held = F.transform(F.map_entries(_c(m)), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == _c(k), _c(v)).otherwise(e["value"]).alias("value")))
+    new = F.array(F.struct(_c(k).alias("key"), _c(v).alias("value")))
+    return F.map_from_entries(F.when(map_contains(m, k), held).otherwise(F.concat(held, new)))
+
+
+def map_remove(m, k) -> Column:
+    return F.map_filter(_c(m), lambda key, _: key != _c(k))
+
+
+map_keys, map_values, map_size = (lambda m: F.map_keys(_c(m))), (lambda m: F.map_values(_c(m))), (lambda m: F.size(_c(m)))
+
 # -- matrices: arrays of rows ---------------------------------------------------------------
 
 

@@ -462,6 +462,14 @@ scalars(
     """SELECT p_partkey, printf('#%02X%02X07', least(p_size * 5, 255), p_partkey % 256) AS c_rgb, printf('#%02X00FF', least(p_size * 5, 255)) || printf('%02X', trunc(255 * (1 - p_size / 100.0))::INT) AS c_alpha, '#2962FF' || printf('%02X', trunc(255 * (1 - p_size / 100.0))::INT) AS c_new, least(p_size * 5, 255)::BIGINT AS c_red, printf('#%02X%02X00', trunc(255 * ((p_size - 1) / 49.0))::INT, trunc(255 * ((p_size - 1) / 49.0))::INT) AS c_grad FROM part""",
 )
 
+scalars(
+    "map_scalars",
+    "orders",
+    lambda: (lambda m: {"p_get": C.map_get(m, "o_orderstatus", 0), "p_none": C.map_get(m, F.lit("?"), -1), "p_has": C.map_contains(m, F.lit("b")), "p_put": C.map_get(C.map_put(m, F.lit("b"), 7), F.lit("b"), 0), "p_new": C.map_size(C.map_put(m, F.lit("z"), 1)).cast("long"), "p_removed": C.map_size(C.map_remove(m, F.lit("a"))).cast("long"), "p_keys": F.array_join(C.map_keys(m), ",")})(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2), F.col("o_orderstatus"), F.lit(3))),
+    "o_orderkey",
+    "SELECT o_orderkey, 3 AS p_get, -1 AS p_none, TRUE AS p_has, 7 AS p_put, 4::BIGINT AS p_new, 2::BIGINT AS p_removed, 'a,b,' || o_orderstatus AS p_keys FROM orders",
+)
+
 # -- scripts and backtests ------------------------------------------------------------------------
 
 CROSS = """//@version=5
@@ -484,6 +492,78 @@ def script_cross(spark, sf_dir):
 
 _register("script_cross", script_cross, f"WITH {BARS}, a AS (SELECT *, {full('close', 3, f'avg(close) {win(3)}')} AS f, {full('close', 8, f'avg(close) {win(8)}')} AS s FROM bars), b AS (SELECT *, CASE WHEN coalesce(lag(f) {LINE} <= lag(s) {LINE} AND f > s, FALSE) THEN 1 ELSE 0 END AS up FROM a) SELECT symbol, bar_index::BIGINT AS bar_index, round(f, 6) + 0.0 AS fast, (sum(up) {win()})::BIGINT AS ups, round(sum(volume) {win(4)}, 6) + 0.0 AS volume4 FROM b")
 
+DAILY = """//@version=5
+indicator("Daily")
+[c, m] = request.security(syminfo.tickerid, "D", [close, ta.sma(close, 3)])
+plot(c, "close")
+plot(m, "sma")
+plot(request.security(syminfo.tickerid, "D", volume, lookahead=barmerge.lookahead_on), "volume")
+"""
+
+
+def script_security(spark, sf_dir):
+    out = script.run(hourly(spark, sf_dir), DAILY, chart_tf="60")
+    return out.select("symbol", "bar_index", r6(F.col("plot_0")).alias("d_close"), r6(F.col("plot_1")).alias("d_sma"), r6(F.col("plot_2")).alias("d_volume"))
+
+
+_register(
+    "script_security",
+    script_security,
+    _DAYS
+    + """, k AS (SELECT *, CASE WHEN h >= 2 THEN avg(close) OVER (PARTITION BY symbol ORDER BY h ROWS 2 PRECEDING) END AS sma FROM g)
+    SELECT d.symbol, d.bar_index::BIGINT AS bar_index, round(k.close, 6) + 0.0 AS d_close, round(k.sma, 6) + 0.0 AS d_sma, round(n.volume, 6) + 0.0 AS d_volume FROM d JOIN g n ON n.symbol = d.symbol AND n.h = d.h LEFT JOIN k ON k.symbol = d.symbol AND k.h = d.h - 1""",
+)
+
+STATE = """//@version=5
+indicator("State")
+type Tally
+    int up = 0
+    float best = 0.0
+method see(Tally t, float x) =>
+    t.up := t.up + (x > nz(x[1], x) ? 1 : 0)
+    t.best := math.max(t.best, x)
+var t = Tally.new()
+t.see(close)
+var window = array.new<float>()
+window.push(close)
+if window.size() > 5
+    window.shift()
+var counts = map.new<int, int>()
+k = int(volume)
+counts.put(k, counts.get(k, 0) + 1)
+float back = 0.0
+for i = 0 to 2
+    back += close[i]
+kind = switch
+    close > open => 1
+    close < open => -1
+    => 0
+m = matrix.new<float>(2, 2, 0.0)
+m.set(0, 0, high)
+m.set(1, 1, low)
+m.set(0, 1, 1.0)
+plot(t.up, "up")
+plot(t.best, "best")
+plot(window.median(), "median")
+plot(counts.get(k), "seen")
+plot(back, "back")
+plot(kind, "kind")
+plot(m.det(), "det")
+"""
+
+
+def script_state(spark, sf_dir):
+    out = script.run(hourly(spark, sf_dir), STATE)
+    return out.select("symbol", "bar_index", *[r6(F.col(f"plot_{i}")).alias(c) for i, c in enumerate(("up", "best", "median_", "seen", "back", "kind", "det"))])
+
+
+_register(
+    "script_state",
+    script_state,
+    f"""WITH {BARS}, a AS (SELECT *, CASE WHEN close > {lag('close')} THEN 1 ELSE 0 END AS u FROM bars)
+    SELECT symbol, bar_index::BIGINT AS bar_index, round((sum(u) {win()})::DOUBLE, 6) + 0.0 AS up, round(greatest(0, max(close) {win()}), 6) + 0.0 AS best, round(median(close) {win(5)}, 6) + 0.0 AS median_, round((row_number() OVER (PARTITION BY symbol, volume ORDER BY bar_index))::DOUBLE, 6) + 0.0 AS seen, round(CASE WHEN bar_index >= 2 THEN sum(close) {win(3)} END, 6) + 0.0 AS back, round(sign(close - open)::DOUBLE, 6) + 0.0 AS kind, round(high * low, 6) + 0.0 AS det FROM a""",
+)
+
 STRATEGY = """//@version=5
 strategy("Cross", initial_capital=10000, default_qty_value=2)
 fast = ta.sma(close, 3)
