@@ -23,16 +23,21 @@ def rotations(text: np.ndarray, depth: int = 128) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | twice[j : j + n]
-    order = np.argsort(key, kind="stable")
-    reach = 8
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank, reach = np.empty(n, np.int64), 8
     while True:
-        at = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(at[1:] != at[:-1])))
-        if reach >= depth or rank.max() == n - 1:
+        rank[order] = np.cumsum(new) - 1
+        alone = new & np.concatenate((new[1:], [True]))
+        tied = np.flatnonzero(~alone)
+        if reach >= depth or not len(tied):
             return order
-        key = rank * n + np.roll(rank, -(reach % n))
-        order = np.argsort(key, kind="stable")
+        at = order[tied]
+        key = rank[at] * n + rank[(at + reach) % n]  # ties stay where they are, and are parted among themselves
+        by = np.argsort(key)
+        order[tied], key = at[by], key[by]
+        new[tied[1:]] |= key[1:] != key[:-1]
         reach *= 2
 
 
@@ -41,18 +46,19 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     n = len(text)
     last = text[order - 1]  # the transform: the byte before each rotation
     by_byte = np.argsort(last, kind="stable")  # row that each row of the first column comes from
-    step = np.empty(n, np.int64)  # last-to-first mapping
-    step[by_byte] = np.arange(n)
+    by_byte = by_byte.astype(np.int32)
+    step = np.empty(n, np.int32)  # last-to-first mapping
+    step[by_byte] = np.arange(n, dtype=np.int32)
     same = np.concatenate((last[by_byte][1:] == last[by_byte][:-1], [False]))
-    following, preceding = np.full(n, n, np.int64), np.full(n, -1, np.int64)  # rows with the same last byte
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)  # rows with the same last byte
     following[by_byte[:-1][same[:-1]]] = by_byte[1:][same[:-1]]
     preceding[by_byte[1:][same[:-1]]] = by_byte[:-1][same[:-1]]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(least):
         size = high - low
-        rows = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        rows = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
         lows, highs = np.repeat(low, size), np.repeat(high, size)
         start = np.sort(step[rows[preceding[rows] < lows]])
         end = np.sort(step[rows[following[rows] >= highs]]) + 1
