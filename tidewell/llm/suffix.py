@@ -38,7 +38,9 @@ MOST = 512
 #: Bytes of a block whose transform is built at once.
 BLOCK = 2_000_000
 #: Windows of a segment at most.
-RUN = 255
+RUN = 127
+#: Set in a segment's run where its gram stands in it more than once, so that a window may repeat inside.
+FOLDED = 128
 #: Bytes of text that grams are hashed of at once.
 CHUNK = 262_144
 _MASK = (1 << 64) - 1
@@ -72,7 +74,7 @@ class Cutter:
         return h
 
     def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(gram hash, index of the text, first window, windows) of all segments, texts in order."""
+        """(gram hash, index of the text, first window, windows) of all segments, texts in order. FOLDED is added to windows where it applies."""
         out, some, size, at = [], [], 0, 0
         for i, t in enumerate(texts):
             if len(t) >= self.least:
@@ -92,6 +94,7 @@ class Cutter:
         text = np.frombuffer(b"".join(t for _, t in some), np.uint8)
         ends = np.cumsum([len(t) for _, t in some])
         low, step = self.hashes(text), 1
+        hashes = low
         while step < width:
             by = min(step, width - step)
             low = np.minimum(low[:-by], low[by:])
@@ -108,7 +111,11 @@ class Cutter:
         first = np.flatnonzero(new)
         of = np.searchsorted(ends, start[first], side="right")
         begin = np.concatenate(([0], ends[:-1]))
-        return mine[first], np.array([i for i, _ in some])[of], start[first] - begin[of], np.diff(np.concatenate((first, [len(start)])))
+        # a window that begins with its gram, and one after it with an equal gram further on
+        goes_on = np.flatnonzero(np.concatenate((~new[1:], [False])) & (hashes[start] == mine))
+        windows = np.diff(np.concatenate((first, [len(start)])))
+        windows[np.searchsorted(first, goes_on, side="right") - 1] += FOLDED
+        return mine[first], np.array([i for i, _ in some])[of], start[first] - begin[of], windows
 
 
 def _mark(text: bytes) -> tuple[int, int]:
@@ -176,14 +183,14 @@ def _match(most: int):
         new = np.concatenate(([True], key[1:] != key[:-1]))
         first = np.flatnonzero(new)
         count = np.repeat(np.diff(np.concatenate((first, [len(key)]))), np.diff(np.concatenate((first, [len(key)]))))
-        keep = (count > 1) & (run > 0)
+        keep = ((count > 1) | (run > FOLDED)) & (run > 0)
         whole = np.flatnonzero((count > 1) & (run == 0))
         if len(whole):
             by = np.lexsort((rank[whole], did[whole], start[whole], key[whole]))
             whole = whole[by]
             again = np.concatenate(([False], (key[whole][1:] == key[whole][:-1]) & (start[whole][1:] == start[whole][:-1])))
             keep[whole[again]] = True
-        return pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(rank[keep]), pa.array(np.where(run > 0, start, 0)[keep].astype(np.int32)), pa.array(run[keep].astype(np.int16)), pa.array(key[keep].view(np.int64)), pa.array((count > most)[keep])], ["did", "rank", "start", "run", "key", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(rank[keep]), pa.array(np.where(run > 0, start, 0)[keep].astype(np.int32)), pa.array((run[keep] % FOLDED).astype(np.int16)), pa.array(key[keep].view(np.int64)), pa.array((count > most)[keep])], ["did", "rank", "start", "run", "key", "hot"])
 
     def run(batches):
         now, parts = None, []
@@ -294,6 +301,12 @@ def _branch(least: int, gram: int):
     return run
 
 
+def _folds(content: bytes, least: int) -> bool:
+    """Whether a window may occur twice in a segment: it would hold a whole aligned block of half its size twice."""
+    half = max(1, least // 2)
+    return any(content.find(content[i : i + half], i + 1) >= 0 for i in range(0, len(content) - half + 1, half))
+
+
 def _expand(least: int):
     """Segments of a task -> spans (did, rank, from, to) of windows that repeat an earlier one."""
 
@@ -309,7 +322,7 @@ def _expand(least: int):
                     if at < own[content]:
                         at, own[content] = own[content], at
                     out.append((at[0], at[1], at[2], at[2] + len(content)))
-            if len(own) > 1 or any(len(c) > least for c in own):
+            if len(own) > 1 or _folds(*own, least):
                 firsts.update(own)
         if firsts:
             order = sorted(firsts.items(), key=lambda x: x[1])
@@ -402,7 +415,11 @@ def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col:
     segments = scratch.keep(cut, "segments")
     scratch.settle()
 
-    groups, spans, used = [segments.where("not hot").select("key", "content", "did", "rank", "start")], [], []
+    def repeated(rows: DataFrame) -> DataFrame:
+        """Spans of rows that are no segments but windows known to repeat."""
+        return rows.where("key is null").select("did", "rank", F.col("start").alias("from"), (F.col("start") + F.col("anchor") + (least - 1)).alias("to"))
+
+    groups, spans, used = [segments.where("key is not null and not hot").select("key", "content", "did", "rank", "start")], [repeated(segments)], []
     hot = segments.where("hot")
     while not hot.isEmpty():
         at = F.struct("did", "rank", "start")
@@ -416,7 +433,7 @@ def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col:
         branches = parted.where(F.col("n") > most).select("key", "content", "did", "rank", "start", "anchor", "trunk.content", "trunk.anchor").toDF("key", "content", "did", "rank", "start", "anchor", "trunk", "spot").mapInArrow(_branch(least, gram), _SEGMENT)
         branches = scratch.keep(branches, "branches")
         used += [once, branches]
-        spans.append(branches.where("key is null").select("did", "rank", F.col("start").alias("from"), (F.col("start") + F.col("anchor") + (least - 1)).alias("to")))
+        spans.append(repeated(branches))
         hot = branches.where("key is not null")
 
     every = groups[0]
