@@ -239,12 +239,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+class _Seen:
+    """Equal segments of frequent grams that one task meets: all but the first are repeats, which need not be dealt out."""
+
+    MOST = 100_000
+
+    def __init__(self, least: int):
+        self.least, self.first = least, {}
+
+    def row(self, row: tuple) -> tuple:
+        name, at = row[:3], row[4:7]
+        if self.first.setdefault(name, at) < at:
+            return (None, 0, 0, None, *at, len(row[3]) - self.least + 1, False)
+        if len(self.first) > self.MOST:
+            self.first.clear()
+        return row
+
+
 def _fetch(least: int, gram: int):
     """Documents with the places of their segments -> the segments' bytes. Those of frequent grams are parted by where the gram stands."""
 
     def run(batches):
         gc.disable()
-        cutter, rows, size = Cutter(least, gram), [], 0
+        cutter, seen, rows, size = Cutter(least, gram), _Seen(least), [], 0
         for batch in batches:
             for did, rank, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
                 places = places.as_py()
@@ -256,7 +273,7 @@ def _fetch(least: int, gram: int):
                     content = raw[start : start + p["run"] + least - 1]
                     if p["hot"]:
                         for a, b, anchor in _anchored(content, key, cutter):
-                            rows.append(_row(key, content[a : b + least - 1], did, rank, start + a, anchor - a, True))
+                            rows.append(seen.row(_row(key, content[a : b + least - 1], did, rank, start + a, anchor - a, True)))
                     else:
                         rows.append((key, 0, 0, content, did, rank, start, 0, False))
                     size += len(content)
@@ -281,6 +298,7 @@ def _branch(least: int, gram: int):
     """Segments with their gram's trunk -> spans that repeat the trunk (key null) and the branches of the rest."""
 
     def run(batches):
+        seen = _Seen(least)
         for batch in batches:
             rows = []
             for key, content, did, rank, start, anchor, trunk, spot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -295,7 +313,7 @@ def _branch(least: int, gram: int):
                 for a, b, side, by, byte_at in ((0, min(windows, anchor - left), b"L", left, anchor - left - 1), (max(low, high), windows, b"R", right, anchor + gram + right)):
                     if a < b:
                         name = key.to_bytes(8, "little", signed=True) + side + by.to_bytes(4, "little") + content[byte_at : byte_at + 1]
-                        rows.append(_row(xxh3_64_intdigest(name), content[a : b + least - 1], did, rank, start + a, anchor - a, True))
+                        rows.append(seen.row(_row(xxh3_64_intdigest(name), content[a : b + least - 1], did, rank, start + a, anchor - a, True)))
             yield _segments(rows)
 
     return run
