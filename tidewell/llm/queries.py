@@ -178,5 +178,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM doc WHERE n >= 100)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+), mark AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark) GROUP BY doc_id, g
+), piece AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS start, lead(a) OVER w IS NULL AS last_ FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), kept AS (
+  SELECT doc_id, n, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * start + 1, 2 * (a - start)) || CASE WHEN last_ THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS h FROM piece JOIN doc USING (doc_id) GROUP BY doc_id, n
+)
+SELECT doc.doc_id, doc.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, doc.h))) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_fertility, op2_ordinal_quality, op3_byte_bpe, op4_simhash, op5_language_id, op6_preference_format, op7_decontamination, op8_length_histogram, op9_url_list, op10_suffix_dedup)}
-ORACLE_SQL = {"op6_preference_format": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_url_list": OP9_SQL}
+ORACLE_SQL = {"op6_preference_format": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_url_list": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
