@@ -167,7 +167,9 @@ class Study:
 
     def correlation(self, x, y, n: int) -> Column:
         x, y = self._of(x), self._of(y)
-        return self.full(x, n, self.full(y, n, sane(F.corr(x, y).over(self.last(n)))))
+        w = self.last(n)
+        r = ratio(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+        return self.full(x, n, self.full(y, n, r))
 
     # -- moves -----------------------------------------------------------------
 
