@@ -17,11 +17,6 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, int | float) else x
 
 
-def sane(x: Column) -> Column:
-    """NaN as NULL."""
-    return F.when(~F.isnan(x), x)
-
-
 def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
