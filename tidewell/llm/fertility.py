@@ -9,6 +9,7 @@ tokens that are fallback bytes (second), and the entropy of its token distributi
 from __future__ import annotations
 
 import gc
+import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +24,7 @@ from tidewell.llm.bpe import encoder
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
 #: Words a worker remembers the measures of.
-CACHE = 300_000
+CACHE = 700_000
 
 
 @dataclass(frozen=True)
@@ -71,20 +72,27 @@ class _Words:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((CACHE, 5), np.int64)  # chars, tokens, pieces, bytes of them, script and letters
-        self.ids: list[bytes] = []
-        self.flat = self.begin = None
+        self.rows = np.zeros((CACHE, 4), np.int32)  # chars, tokens, pieces, bytes of them
+        self.letters = np.zeros((CACHE, 2), np.int32)  # script and letters
+        self.begin, self.flat = np.zeros(CACHE + 1, np.int64), np.zeros(4 * CACHE, np.int32)
 
     def learn(self, new: list[str]) -> None:
         codes = self.bpe.encode_many(new)
-        for w, ids, pieces in zip(new, codes, self.pieces.encode(new, num_threads=1), strict=True):
-            letters = [c for c in w if c.isalpha()]
-            kind = self._script(letters[0]) if letters else 0
-            self.rows[len(self.at)] = len(w), len(ids) // 4, len(pieces), int(self.is_byte[pieces].sum()) if pieces else 0, kind << 32 | len(letters)
-            self.at[w] = len(self.at)
-            self.ids.append(ids)
-        lens = np.fromiter(map(len, self.ids), np.int64, len(self.ids)) // 4
-        self.begin, self.flat = np.concatenate(([0], np.cumsum(lens))), np.frombuffer(b"".join(self.ids), "<i4")
+        n = len(self.at)
+        for w, pieces in zip(new, self.pieces.encode(new, num_threads=1), strict=True):
+            first = next(filter(str.isalpha, w), None)
+            k = len(self.at)
+            self.rows[k] = len(w), 0, len(pieces), np.count_nonzero(self.is_byte[pieces]) if len(pieces) >= 3 and not w.isascii() else sum(map(self.is_byte.__getitem__, pieces))
+            if first is not None:
+                self.letters[k] = self._script(first), len(w) if w.isalpha() else sum(map(str.isalpha, w))
+            self.at[w] = k
+        lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        self.rows[n : n + len(new), 1] = lens
+        self.begin[n + 1 : n + 1 + len(new)] = self.begin[n] + np.cumsum(lens)
+        end = int(self.begin[n + len(new)])
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(end, 2 * len(self.flat)) - len(self.flat), np.int32)))
+        self.flat[int(self.begin[n]) : end] = np.frombuffer(b"".join(codes), "<i4")
 
     def _script(self, char: str) -> int:
         if char not in self.char_script:
@@ -100,7 +108,7 @@ class _Words:
             self.clear()
             new = set().union(*texts)
             if len(new) > CACHE:
-                self.rows = np.zeros((len(new), 5), np.int64)
+                self.rows, self.letters, self.begin = np.zeros((len(new), 4), np.int32), np.zeros((len(new), 2), np.int32), np.zeros(len(new) + 1, np.int64)
         if new:
             self.learn(list(new))
 
@@ -109,14 +117,14 @@ class _Words:
         if not words:
             return 0, 0, 0.0, 0.0, 0.0, None
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        chars, tokens, pieces, fallen = self.rows[at, :4].sum(axis=0).tolist()
+        chars, tokens, pieces, fallen = self.rows[at].sum(axis=0, dtype=np.int64).tolist()
         own, times = np.unique(at, return_counts=True)
         lens = self.begin[own + 1] - self.begin[own]
         spot = np.repeat(self.begin[own] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
         ids, back = np.unique(self.flat[spot], return_inverse=True)
         p = np.bincount(back, weights=np.repeat(times, lens)) / tokens
-        mix = self.rows[at, 4]
-        letters = np.bincount(mix >> 32, weights=mix & 0xFFFFFFFF)
+        mix = self.letters[at]
+        letters = np.bincount(mix[:, 0], weights=mix[:, 1])
         return chars, tokens, chars / tokens, fallen / max(1, pieces), float(-(p * np.log2(p)).sum()) + 0.0, self.scripts[int(letters.argmax())] if letters.any() else None
 
 
@@ -153,10 +161,12 @@ def repeated_lines(text: str) -> int:
     return out
 
 
+#: White space to str.split that is part of a word here.
+_MORE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def _split(text: str) -> list[str]:
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w.decode() for w in text.encode().split()]
+    return [w.decode() for w in text.encode().split()] if _MORE_SPACE.search(text) else text.split()
 
 
 _OUT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "n_tokens": "long", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double", "script": "string"}
