@@ -188,7 +188,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
     of = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "low")
     least = of.groupBy("root").agg(F.min("low").alias("least"))
     label = distinct.join(of.join(least, "root").select(F.col("fp").alias("__fp"), "least"), F.col("fp") == F.col("__fp"), "left")
-    label = label.select("fp", F.coalesce("least", "low").alias("component_id"))
+    # written, so that the join below is of two plain tables, which is split where a fingerprint is very frequent
+    label = scratch.keep(label.select("fp", F.coalesce("least", "low").alias("component_id")), "labels")
+    scratch.drop(distinct, edges)
     return rows.join(label, "fp").select(F.col("__id").alias(id_col), "text_key", "fp", "component_id")
 
 
