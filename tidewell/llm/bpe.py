@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.caches import claim
+
 NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this get a tree of their own.
 WIDE = 64
 #: Entries a worker's cache of encoded words holds before it starts anew.
-CACHE = 800_000
+CACHE = 500_000
 _WS = "[\t-\r \x85\xa0  -     　]"
 #: Where white space around a single space makes words depend on their neighbours.
 _KNOT = re.compile(f"{_WS} (?:{_WS}|\\Z)")
@@ -304,6 +306,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     def run(batches):
         gc.disable()  # millions of small objects, none in cycles
         bpe = encoder(path, pattern)
+        claim(f"bpe {path}", bpe.words.clear)
         for batch in batches:
             for at, texts in _groups(batch, 1):
                 rows = bpe.encode_many(texts)
@@ -323,6 +326,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text")
     def run(batches):
         gc.disable()  # millions of small objects, none in cycles
         bpe = encoder(path, pattern)
+        claim(f"bpe {path}", bpe.words.clear)
         for batch in batches:
             for _, texts in _groups(batch, 0):
                 counts = [len(x) // 4 for x in bpe.encode_many(texts)]

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.caches import claim
+
 #: Longest n-gram that unseen words fall back to.
 LONGEST = 4
 #: Texts per language that a model is fitted on, about.
@@ -45,7 +47,8 @@ class Model:
         """counts: (kind, item) -> language -> count; kind 0 is words, n > 0 is n-grams."""
         self.langs = sorted(langs)
         place = {x: i for i, x in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.tables: list[dict[str, int]] = []  # item -> row of the kind's matrix
+        self.rows: list[np.ndarray] = []
         for kind in range(LONGEST + 1):
             own = [(item, of) for (k, item), of in counts.items() if k == kind]
             matrix = np.zeros((len(own), len(self.langs)))
@@ -53,19 +56,24 @@ class Model:
                 for lang, n in of.items():
                     matrix[row, place[lang]] = n
             total = matrix.sum(axis=0) + 0.5 * (len(own) + 1)
-            self.tables.append(dict(zip([item for item, _ in own], np.log((matrix + 0.5) / total).astype(np.float32), strict=True)))
+            self.tables.append({item: row for row, (item, _) in enumerate(own)})
+            self.rows.append(np.log((matrix + 0.5) / total).astype(np.float32))
         self.unknown = np.full(len(self.langs), -20.0, np.float32)
         self._scorer = None
 
     def scorer(self) -> _Scorer:
         """Of this process; it remembers words' scores."""
         self._scorer = self._scorer or _Scorer(self)
+        claim(f"langid {id(self)}", self.forget)
         return self._scorer
 
+    def forget(self) -> None:
+        self._scorer = None
+
     def word(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return self.rows[0][known]
         marked, total = f"^{word}$", np.zeros(len(self.langs), np.float32)
         for i in range(1, len(word) + 1):
             for n in range(LONGEST, 0, -1):
@@ -73,7 +81,7 @@ class Model:
                 gram = marked[i - 1 : i - 1 + n] if n > 1 else marked[i]
                 found = self.tables[n].get(gram) if len(gram) == n else None
                 if found is not None:
-                    total += found
+                    total += self.rows[n][found]
                     break
             else:
                 total += self.unknown
