@@ -91,3 +91,69 @@ def test_assess(spark, library):
     assert by[1, 80].n_tokens == sum(len(library.encode_ordinary(w)) for w in good.split())
     assert by[4, 60].script == "CJK"
     assert fertility.assess(df.limit(0), PATH, P.PATTERN, PIECES).collect() == []
+
+
+def test_reference_bands_reject_by_each_measure(spark):
+    r = random.Random(8)
+    some = "the people house water government morning reading little before another through under great small river city paper long night table green every story again".split()
+    plain = lambda n: [r.choice(some) + r.choice(["", "", "s", "ing"]) for _ in range(n)]
+    rows = [(i, " ".join(plain(r.randint(60, 120)))) for i in range(300)]
+    poor = [i for i in range(1000, 1150)]
+    rows += [(i, " ".join(w[:3] + "%#&$" for w in plain(80))) for i in poor]  # unrated, but not rated good
+    cycle = [some[i] for i in de_bruijn(5, 3)]  # few words, no repeated windows
+    odd = {
+        "chars_per_token low": " ".join(f"{w[:2]}%{w[2:4]}$#&" for w in plain(90)),
+        "chars_per_token high": " ".join(r.choice(["disproportionately", "government", "through", "another"]) + r.choice(["", "al"]) for _ in range(90)),
+        "fallback_share": " ".join(w if i % 6 else w + "\U00013000" for i, w in enumerate(plain(90))),
+        "token_entropy": " ".join(cycle),
+    }
+    rows += [(2000 + i, t) for i, t in enumerate(odd.values())] + [(3000, " ".join(plain(90))), (None, " ".join(plain(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    measured = fertility.measure(df, PATH, P.PATTERN, PIECES).cache()
+    band = fertility.reference_bands(measured.where("doc_id < 300"))["LATIN"]
+    out = {x.doc_id: x for x in fertility.assess(df, PATH, P.PATTERN, PIECES, good=good).collect()}
+    at = dict(zip(odd, (out[2000 + i] for i in range(len(odd))), strict=True))
+    assert at["chars_per_token low"].chars_per_token < band.min_chars
+    assert at["chars_per_token high"].chars_per_token > band.max_chars
+    assert at["fallback_share"].fallback_share > band.max_fallback
+    assert at["token_entropy"].token_entropy < band.min_entropy
+    assert not any(x.base_failed or x.kept for x in at.values())
+    assert not any(out[i].kept or out[i].base_failed for i in poor)
+    assert sum(out[i].kept for i in range(300)) >= 297 and out[3000].kept and out[None].kept
+
+
+def test_fixed_bands_can_bind(spark):
+    greek = "όλοι άνθρωποι γεννιούνται ελεύθεροι ίσοι αξιοπρέπεια δικαιώματα είναι προικισμένοι λογική συνείδηση οφείλουν συμπεριφέρονται μεταξύ πνεύμα αδελφοσύνης κάθε επικαλείται χωρίς καμία διάκριση".split()
+    r = random.Random(4)
+    clean = [r.choice(greek) for _ in range(80)]
+    cut = [w for x in clean for w in x][:300]
+    r.shuffle(cut)
+    words = "αβγδ"
+    cycle = [words[i] for i in de_bruijn(4, 3)]
+    texts = [" ".join(clean), "".join(c + ("%" if i % 2 else "# ") for i, c in enumerate(cut)), " ".join(w + "\u1fa7\u1f8f\u1f9b" for w in clean), " ".join(cycle)]
+    out = {x.doc_id: x for x in fertility.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, P.PATTERN, PIECES).collect()}
+    band = fertility.BANDS["GREEK"]
+    assert all(x.script == "GREEK" and not x.base_failed for x in out.values())
+    assert out[1].chars_per_token < band.min_chars
+    assert out[2].fallback_share > band.max_fallback and out[3].token_entropy < band.min_entropy
+    assert [out[i].kept for i in range(4)] == [True, False, False, False]
+
+
+def de_bruijn(k, n):
+    """A cyclic sequence with every window of n of k symbols once."""
+    a, out = [0] * k * n, []
+
+    def step(t, p):
+        if t > n:
+            if n % p == 0:
+                out.extend(a[1 : p + 1])
+            return
+        a[t] = a[t - p]
+        step(t + 1, p)
+        for j in range(a[t - p] + 1, k):
+            a[t] = j
+            step(t + 1, t)
+
+    step(1, 1)
+    return out

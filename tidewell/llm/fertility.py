@@ -4,6 +4,10 @@ Each word is encoded by a byte-level BPE vocabulary and by a piece vocabulary wi
 fallback.  Of a text are measured: characters per token (first vocabulary), the share of
 tokens that are fallback bytes (second), and the entropy of its token distribution in bits
 (first).  Bands per script say what is rejected; the script is that of most of its letters.
+
+A script's band comes from the corpus: its limits are percentiles over the documents that
+pass the base and are rated good, or over all that pass the base where too few are rated.
+Scripts with few documents have fixed bands.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encoder
+from tidewell.llm.store import Scratch
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\r\x0b\x0c"
@@ -37,18 +42,26 @@ class Band:
     min_entropy: float
 
 
-#: By script, the first word of a letter's Unicode name. Wide enough for languages the vocabularies have seen little of.
+#: Share of the reference beyond each limit: three limits bind on most texts, so at most about 1 % of the reference is lost.
+TAIL = 0.0025
+#: Documents that a script's reference must have.
+LEAST_DOCS = 100
+#: Percentiles are taken over steps of this size, outer edges of which are the limits.
+STEPS = 100
+#: Of scripts without a reference, by the first word of a letter's Unicode name. Characters per token: more than where every letter
+#: of an alphabet is a token (elsewhere half of those of a plain sentence), to twice those of a plain sentence, which the longest tokens exceed.
 BANDS = {
-    "LATIN": Band(1.3, 9.0, 0.25, 3.0),
-    "CYRILLIC": Band(0.8, 9.0, 0.35, 3.0),
-    "GREEK": Band(0.5, 9.0, 0.6, 3.0),
-    "ARABIC": Band(0.5, 9.0, 0.6, 3.0),
-    "HEBREW": Band(0.4, 9.0, 0.6, 3.0),
-    "CJK": Band(0.25, 9.0, 0.8, 3.0),
-    "HIRAGANA": Band(0.25, 9.0, 0.8, 3.0),
-    "KATAKANA": Band(0.25, 9.0, 0.8, 3.0),
-    "HANGUL": Band(0.25, 9.0, 0.9, 3.0),
+    "LATIN": Band(1.3, 6.7, 0.25, 3.0),
+    "CYRILLIC": Band(1.1, 4.1, 0.25, 3.0),
+    "GREEK": Band(1.05, 3.2, 0.25, 3.0),
+    "ARABIC": Band(1.02, 2.7, 0.25, 3.0),
+    "HEBREW": Band(1.02, 2.9, 0.25, 3.0),
+    "CJK": Band(0.45, 1.8, 0.4, 3.0),
+    "HIRAGANA": Band(0.5, 2.3, 0.4, 3.0),
+    "KATAKANA": Band(0.5, 2.3, 0.4, 3.0),
+    "HANGUL": Band(0.42, 1.7, 0.4, 3.0),
 }
+#: The vocabularies may know no letter of any other script, so that clean text may be bytes alone: only the entropy binds.
 OTHER = Band(0.2, 9.0, 1.0, 3.0)
 
 
@@ -169,26 +182,18 @@ def _split(text: str) -> list[str]:
     return [w.decode() for w in text.encode().split()] if _MORE_SPACE.search(text) else text.split()
 
 
-_OUT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "n_tokens": "long", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double", "script": "string"}
-
+_OUT = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "n_tokens": "long", "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double", "script": "string"}
 
-def assess(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, bands: dict[str, Band] | None = None, other: Band = OTHER, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, base counts, base_failed, kept, and the measures the verdict rests on.
 
-    One row per input row; ids, null or repeated, are only carried; nothing else is read.
-    A null or wordless text has zeros, no script, and fails the base.  ``kept`` is false if
-    the base failed or the text lies outside its script's band.
-    """
-    bands = BANDS if bands is None else bands
+def measure(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, base counts, base_failed, and the measures, one row per input row."""
     some = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
 
-    def verdict(text: str, words: list[str], measures: _Words) -> tuple:
-        chars, tokens, per_token, fallback, entropy, kind = measures.measure(words)
+    def counts(text: str, words: list[str], measures: _Words) -> tuple:
+        chars, *rest = measures.measure(words)
         repeats = repeated_words(words)
         failed = len(words) < least_words or 100 * repeats > 50 * len(words)
-        band = bands.get(kind, other)
-        inside = band.min_chars <= per_token <= band.max_chars and fallback <= band.max_fallback and entropy >= band.min_entropy
-        return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, inside and not failed, tokens, per_token, fallback, entropy, kind
+        return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, *rest
 
     def run(batches):
         gc.disable()
@@ -203,9 +208,56 @@ def assess(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, ban
                     words.append(_split(texts[-1]))
                     size += len(words[-1])
                 measures.prepare(words)
-                rows = [verdict(t, w, measures) for t, w in zip(texts, words, strict=True)]
+                rows = [counts(t, w, measures) for t, w in zip(texts, words, strict=True)]
                 cols = [pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), _OUT.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cols], [id_col, *_OUT])
                 at += len(texts)
 
     return some.mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in _OUT.items()))
+
+
+def reference_bands(measured: DataFrame, tail: float = TAIL, least_docs: int = LEAST_DOCS) -> dict[str, Band]:
+    """Bands of the scripts that have ``least_docs`` rows or more that pass the base, from histograms of the measures."""
+    steps = [F.floor(F.col(c) * STEPS).cast("long") for c in ("chars_per_token", "fallback_share", "token_entropy")]
+    rows = measured.where("not base_failed and script is not null").select("script", F.posexplode(F.array(*steps)).alias("kind", "step"))
+    found: dict[str, list[dict[int, int]]] = {}
+    for r in rows.groupBy("script", "kind", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault(r.script, [{}, {}, {}])[r.kind][r.step] = r.n
+
+    def edge(of: dict[int, int], upper: bool) -> float:
+        beyond = tail * sum(of.values())
+        for step in sorted(of, reverse=upper):
+            beyond -= of[step]
+            if beyond < 0:
+                return (step + upper) / STEPS
+
+    return {k: Band(edge(chars, False), edge(chars, True), edge(fallback, True), edge(entropy, False)) for k, (chars, fallback, entropy) in found.items() if sum(chars.values()) >= least_docs}
+
+
+def assess(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, bands: dict[str, Band] | None = None, other: Band = OTHER, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text", good: DataFrame | None = None) -> DataFrame:
+    """id_col, base counts, base_failed, kept, and the measures the verdict rests on.
+
+    One row per input row; ids, null or repeated, are only carried; nothing else is read.
+    A null or wordless text has zeros, no script, and fails the base.  ``kept`` is false if
+    the base failed or the text lies outside its script's band.  Without ``bands`` they are
+    those of the documents whose id is in ``good`` (its first column), else of all, else BANDS.
+    """
+    out = measure(docs, ranks_path, pattern, pieces_path, least_words, id_col, text_col)
+    if bands is None:
+        out = Scratch(docs.sparkSession, "fertility").keep(out, "measures")
+        bands = BANDS | reference_bands(out)
+        if good is not None:
+            rated = good.select(F.col(good.columns[0]).alias("__good"))
+            bands |= reference_bands(out.join(rated, F.col(id_col) == F.col("__good"), "left_semi"))
+    band = F.lit(None)
+    if bands:
+        band = F.create_map(*[x for k, b in bands.items() for x in (F.lit(k), _limits(b))])[F.col("script")]
+    band = F.coalesce(band, _limits(other))
+    inside = F.col("chars_per_token").between(band[0], band[1]) & (F.col("fallback_share") <= band[2]) & (F.col("token_entropy") >= band[3])
+    names = list(_OUT)
+    at = names.index("base_failed") + 1
+    return out.select(id_col, *names[:at], (~F.col("base_failed") & inside).alias("kept"), *names[at:])
+
+
+def _limits(band: Band):
+    return F.array(*[F.lit(float(x)) for x in (band.min_chars, band.max_chars, band.max_fallback, band.min_entropy)])

@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base rules and the tokeniser-fertility verdict on every document."""
-    return fertility.assess(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+    """Base rules and the tokeniser-fertility verdict on every document, by bands of those labelled of quality and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return fertility.assess(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path(PIECES), good=good)
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
