@@ -140,6 +140,16 @@ def test_fixed_bands_can_bind(spark):
     assert [out[i].kept for i in range(4)] == [True, False, False, False]
 
 
+def test_script_of_mixed_words(spark):
+    rows = [(1, "Tokyo東京都庁舎前広場"), (2, "NHK放送センター前でニュースキャスターがリポート"), (3, "東a " * 3), (4, "a東 " * 3), (5, "42%"), (6, "Москваabc xyz")]
+    measured = fertility.measure(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN, PIECES).collect()
+    assert {r.doc_id: r.script for r in measured} == {1: "CJK", 2: "KATAKANA", 3: "CJK", 4: "CJK", 5: None, 6: "CYRILLIC"}
+    line = "Sony株式会社東京都港区本社研究開発部門長発表新型携帯電話販売開始予定日"
+    clean = [line[:4] + "".join(random.Random(i).sample(line[4:], 20)) for i in range(60)]
+    (row,) = fertility.assess(spark.createDataFrame([(1, " ".join(clean))], "doc_id long, text string"), PATH, P.PATTERN, PIECES).collect()
+    assert row.script == "CJK" and row.chars_per_token < fertility.BANDS["LATIN"].min_chars and row.kept
+
+
 def de_bruijn(k, n):
     """A cyclic sequence with every window of n of k symbols once."""
     a, out = [0] * k * n, []

@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -86,18 +87,22 @@ class _Words:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((CACHE, 4), np.int32)  # chars, tokens, pieces, bytes of them
-        self.letters = np.zeros((CACHE, 2), np.int32)  # script and letters
+        self.letters = np.zeros((CACHE, 2), np.int32)  # script and letters of it
+        self.mixed: dict[int, list[tuple[int, int]]] = {}  # rows of words of several scripts: the further scripts
         self.begin, self.flat = np.zeros(CACHE + 1, np.int64), np.zeros(4 * CACHE, np.int32)
 
     def learn(self, new: list[str]) -> None:
         codes = self.bpe.encode_many(new)
         n = len(self.at)
         for w, pieces in zip(new, self.pieces.encode(new, num_threads=1), strict=True):
-            first = next(filter(str.isalpha, w), None)
             k = len(self.at)
             self.rows[k] = len(w), 0, len(pieces), np.count_nonzero(self.is_byte[pieces]) if len(pieces) >= 3 and not w.isascii() else sum(map(self.is_byte.__getitem__, pieces))
-            if first is not None:
-                self.letters[k] = self._script(first), len(w) if w.isalpha() else sum(map(str.isalpha, w))
+            if w.isascii():
+                self.letters[k] = self._script("a"), len(w) if w.isalpha() else sum(map(str.isalpha, w))
+            elif own := Counter(map(self._script, filter(str.isalpha, w))):
+                self.letters[k], *more = own.items()
+                if more:
+                    self.mixed[k] = more
             self.at[w] = k
         lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         self.rows[n : n + len(new), 1] = lens
@@ -137,8 +142,13 @@ class _Words:
         ids, back = np.unique(self.flat[spot], return_inverse=True)
         p = np.bincount(back, weights=np.repeat(times, lens)) / tokens
         mix = self.letters[at]
-        letters = np.bincount(mix[:, 0], weights=mix[:, 1])
-        return chars, tokens, chars / tokens, fallen / max(1, pieces), float(-(p * np.log2(p)).sum()) + 0.0, self.scripts[int(letters.argmax())] if letters.any() else None
+        letters = np.bincount(mix[:, 0], weights=mix[:, 1], minlength=len(self.scripts))
+        if self.mixed:
+            for k, n in zip(own.tolist(), times.tolist(), strict=True):
+                for kind, more in self.mixed.get(k, ()):
+                    letters[kind] += n * more
+        most = min(self.scripts[i] for i in np.flatnonzero(letters == letters.max())) if letters.any() else None
+        return chars, tokens, chars / tokens, fallen / max(1, pieces), float(-(p * np.log2(p)).sum()) + 0.0, most
 
 
 @lru_cache(maxsize=2)
