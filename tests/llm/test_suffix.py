@@ -91,3 +91,18 @@ def test_without_repeats_keeps_columns(spark):
     out = {r.doc_id: r for r in suffix.without_repeats(df).collect()}
     assert sorted(out) == [1, 3, 4, 5]
     assert (out[1].text, out[3].text, out[3].spans, out[5].text) == (t, "new  end", "c", None)
+
+
+def test_without_repeats_of_shared_and_null_ids(spark):
+    r = random.Random(6)
+    a, b, c, d, e = ("".join(r.choice("abcdefghij ") for _ in range(150)) for _ in range(5))
+    rows = [(7, a, 1), (7, a, 1)]  # equal rows: one keeps its text
+    rows += [(1, b, 2), (9, "x " + b, 3), (9, c, 4)]  # one of two that share an id is cut
+    rows += [(None, d, 5), (None, d, 6), (None, d, 7), (None, e, 8), (None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    out = [(x.doc_id, x.text, x.n) for x in suffix.without_repeats(df).collect()]
+    assert [x for x in out if x[0] == 7] == [(7, a, 1)]
+    assert sorted(x for x in out if x[0] in (1, 9)) == [(1, b, 2), (9, c, 4), (9, "x ", 3)]
+    null = [x for x in out if x[0] is None]
+    assert sorted(t or "" for _, t, _ in null) == sorted(["", d, e]) and {n for _, t, n in null if t != d} == {8, 9}
+    assert len(out) == 7

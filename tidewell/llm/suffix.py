@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from tidewell.llm.bwt import later_repeats
@@ -373,6 +374,23 @@ def _expand(least: int):
     return run
 
 
+def _cut(batch):
+    """For each document of a batch its bytes, merged spans and kept bytes."""
+    for text, whole, spans in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+        raw = (text.as_py() or "").encode()
+        if whole.as_py():
+            runs = [[0, len(raw)]] if raw else []
+        else:
+            runs = []
+            for s in sorted((x["from"], x["to"]) for x in spans.as_py() or ()):
+                if runs and s[0] <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], s[1])
+                else:
+                    runs.append(list(s))
+        edges = [0, *[x for r in runs for x in r], len(raw)]
+        yield raw, runs, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def _finish(id_col: str):
     """Documents with their spans -> n_bytes, merged spans and kept bytes."""
 
@@ -380,34 +398,23 @@ def _finish(id_col: str):
         span = pa.struct([("from", pa.int64()), ("to", pa.int64())])
         for batch in batches:
             n_bytes, merged, kept = [], [], []
-            for text, whole, spans in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                raw = (text.as_py() or "").encode()
+            for raw, runs, left in _cut(batch):
                 n_bytes.append(len(raw))
-                if whole.as_py():
-                    runs = [[0, len(raw)]] if raw else []
-                else:
-                    runs = []
-                    for s in sorted((x["from"], x["to"]) for x in spans.as_py() or ()):
-                        if runs and s[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], s[1])
-                        else:
-                            runs.append(list(s))
                 merged.append([{"from": a, "to": b} for a, b in runs])
-                edges = [0, *[x for r in runs for x in r], len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(merged, pa.list_(span)), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
 
     return run
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, did, rank, text: did orders documents; rank orders those that share an id, which is 0 for all where ids are unique."""
-    some = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.col(text_col).cast("string").alias("text"))
+    """__row, did, rank, text: __row holds all columns; did orders documents; rank orders those that share an id, which is 0 for all where ids are unique."""
+    some = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.col(text_col).cast("string").alias("text"))
     twice = some.groupBy("did").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if twice.isEmpty():
-        return some.select("__id", "did", F.lit(0).alias("rank"), "text")
+        return some.select("__row", "did", F.lit(0).alias("rank"), "text")
     of = Window.partitionBy("did").orderBy(F.xxhash64("text"), "text")
-    return some.select("__id", "did", (F.row_number().over(of) - 1).cast("int").alias("rank"), "text")
+    return some.select("__row", "did", (F.row_number().over(of) - 1).cast("int").alias("rank"), "text")
 
 
 def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -419,6 +426,12 @@ def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col:
     their texts' hashes, so that of equal rows only one keeps its text.  No other column
     is read.  Kept bytes may begin or end inside a character.
     """
+    ready = _found(docs.select(id_col, text_col), least, id_col, text_col, most).select(F.col("__row")[id_col].alias("__id"), "text", "whole", "spans")
+    return ready.mapInArrow(_finish(id_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
+
+
+def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int) -> DataFrame:
+    """__row (all columns), text, whole, spans, one row per input row."""
     spark = docs.sparkSession
     gram = min(GRAM, max(1, least // 2))
     scratch = Scratch(spark, "suffix")
@@ -467,26 +480,24 @@ def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col:
     by_doc = ranges.groupBy("did", "rank").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     whole = places.where("run = 0").select("did", "rank", F.lit(True).alias("whole")).distinct()
     found = by_doc.join(whole, ["did", "rank"], "full")
-    ready = rows.join(found, ["did", "rank"], "left").select("__id", "text", "whole", "spans")
-    return ready.mapInArrow(_finish(id_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
+    return rows.join(found, ["did", "rank"], "left").select("__row", "text", "whole", "spans")
 
 
-def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """docs with text_col cut down to the kept bytes, and without documents of which nothing is left.
 
     Documents without repeats stay as they are.  Bytes of a character that was cut in two
-    are left out.  ids must be unique.  Other columns are unchanged.
+    are left out.  Repeated rows, shared and null ids are as in ``repeats``: each row is cut
+    by its own spans.  Other columns are unchanged.
     """
-    found = repeats(docs, least, id_col, text_col, **options).where(F.size("spans") > 0)
-    cut = found.mapInArrow(_texts(id_col), f"__tw_id {docs.schema[id_col].dataType.simpleString()}, __tw_kept string")
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("__tw_id")), "left").where("__tw_kept is null or __tw_kept <> ''")
-    return out.select(*[F.coalesce("__tw_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-
+    row = T.StructField("__row", T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    out = _found(docs, least, id_col, text_col, most).mapInArrow(_texts, T.StructType([row, T.StructField("__kept", T.StringType())]))
+    out = out.where("__kept is null or __kept <> ''")
+    return out.select(*[(F.coalesce("__kept", F.col("__row")[c]) if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])
 
-def _texts(id_col: str):
-    def run(batches):
-        for batch in batches:
-            kept = [k.as_py().decode(errors="ignore") for k in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(kept, pa.string())], ["__tw_id", "__tw_kept"])
 
-    return run
+def _texts(batches):
+    """__row and the kept text, which is null where nothing is cut."""
+    for batch in batches:
+        kept = [left.decode(errors="ignore") if runs else None for _, runs, left in _cut(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["__row", "__kept"])
