@@ -1,7 +1,7 @@
 """Quality rules from how public tokenisers fare on a text.
 
-Each word is encoded by a byte-level BPE vocabulary and by a piece vocabulary with byte
-fallback.  Of a text are measured: characters per token (first vocabulary), the share of
+Each word is encoded by a byte-level BPE vocabulary, with a space before it, and by a piece
+vocabulary with byte fallback, which marks the start of a word.  Of a text are measured: characters per token (first vocabulary), the share of
 tokens that are fallback bytes (second), and the entropy of its token distribution in bits
 (first).  Bands per script say what is rejected; the script is that of most of its letters.
 
@@ -12,7 +12,6 @@ Scripts with few documents have fixed bands.
 
 from __future__ import annotations
 
-import gc
 import re
 import unicodedata
 from collections import Counter
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encoder
+from tidewell.llm.caches import bounded, claim
 from tidewell.llm.store import Scratch
 
 SYMBOLS = "#*$%&|<>"
@@ -92,7 +92,7 @@ class _Words:
         self.begin, self.flat = np.zeros(CACHE + 1, np.int64), np.zeros(4 * CACHE, np.int32)
 
     def learn(self, new: list[str]) -> None:
-        codes = self.bpe.encode_many(new)
+        codes = self.bpe.encode_many([" " + w for w in new])
         n = len(self.at)
         for w, pieces in zip(new, self.pieces.encode(new, num_threads=1), strict=True):
             k = len(self.at)
@@ -156,6 +156,11 @@ def _of_process(ranks_path: str, pattern: str, pieces_path: str) -> _Words:
     return _Words(ranks_path, pattern, pieces_path)
 
 
+def _forget() -> None:
+    _of_process.cache_clear()
+    encoder.cache_clear()
+
+
 def repeated_words(words: list, window: int = 3) -> int:
     """Words in windows that occur at least twice in the text, first occurrences included."""
     n = len(words)
@@ -206,7 +211,7 @@ def measure(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, le
         return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, *rest
 
     def run(batches):
-        gc.disable()
+        claim(f"fertility {ranks_path} {pieces_path}", _forget)
         measures = _of_process(ranks_path, pattern, pieces_path)
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
         for batch in batches:
@@ -223,7 +228,7 @@ def measure(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, le
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cols], [id_col, *_OUT])
                 at += len(texts)
 
-    return some.mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in _OUT.items()))
+    return bounded(some).mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in _OUT.items()))
 
 
 def reference_bands(measured: DataFrame, tail: float = TAIL, least_docs: int = LEAST_DOCS) -> dict[str, Band]:

@@ -8,7 +8,6 @@ selection goes by.
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidewell.llm.caches import bounded, claim
+
 #: Hash buckets of words and word pairs.
 BUCKETS = 1 << 18
 #: Rated texts that a model is fitted on, about.
@@ -101,13 +102,13 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(few, "__id").select("__text", "__grade")
 
     def run(batches):
-        gc.disable()
+        claim("ordinal")
         features = Features(buckets)
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())], ["grade", "at", "value"])
 
-    got = texts.mapInArrow(run, "grade int, at binary, value binary").toPandas()
+    got = bounded(texts).mapInArrow(run, "grade int, at binary, value binary").toPandas()
     got = got.assign(order=[xxh64_intdigest(a + bytes([g])) for a, g in zip(got["at"], got["grade"], strict=True)]).sort_values("order")
     if not len(got):
         return Model(np.zeros(buckets, np.float32), np.arange(grades - 1, dtype=float))
@@ -126,7 +127,7 @@ def score(docs: DataFrame, model: Model, tail: int = 1, id_col: str = "doc_id",
     some = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        gc.disable()
+        claim("ordinal")
         own = held.value
         features = Features(len(own.weights))
         for batch in batches:
@@ -136,4 +137,4 @@ def score(docs: DataFrame, model: Model, tail: int = 1, id_col: str = "doc_id",
                 tails.append(own.tails(float((own.weights[at] * value).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x.sum()) for x in tails], pa.float64()), pa.array([float(x[tail - 1]) for x in tails], pa.float64())], [id_col, "expected_grade", "tail_probability"])
 
-    return some.mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, expected_grade double, tail_probability double")
+    return bounded(some).mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, expected_grade double, tail_probability double")

@@ -15,7 +15,6 @@ joined by one task, which returns each fingerprint's least partner-by-links, not
 
 from __future__ import annotations
 
-import gc
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -25,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidewell.llm.caches import bounded, claim
 from tidewell.llm.components import components
+from tidewell.llm.names import fresh
 from tidewell.llm.store import Scratch
 
 BITS = 64
@@ -55,12 +56,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     some = docs.select(F.col(id_col).alias(id_col), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        gc.disable()
+        claim("simhash")
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], [id_col, "text_key", "fp"])
 
-    return some.mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, text_key long, fp long")
+    return bounded(some).mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, text_key long, fp long")
 
 
 def linked(values: list[int], budget: int) -> Iterator[tuple[int, int]]:
@@ -116,6 +117,7 @@ def _signed(x: int) -> int:
 
 def _edges(batches, budget: int):
     """Edges of the tries in rows sorted by node; a node's rows may lie in several batches."""
+    claim("simhash")
     now, held = None, []
 
     def done():
@@ -145,6 +147,8 @@ def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def links(distinct: DataFrame, scratch: Scratch, budget: int = 2, most: int = MOST) -> DataFrame:
     """Edges u, v over distinct fingerprints fp, whose components are those of all links."""
+    if most <= budget + 1:
+        raise ValueError("most must exceed budget + 1: a node with so few free bits cannot be parted without losing links")
     masks = sorted(set(_parts(0, budget + 1)))
     rows, parts = distinct.select("fp"), []
     while masks:
@@ -178,7 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
     One row per input row.  A null or wordless text has fingerprint zero, which links like
     any other.  Equal texts, repeated ids and rows are in one component each by their equal
     fingerprints.  A null id is carried and never names a component, unless no member has
-    an id: then component_id is null.  No other column is read.
+    an id: then component_id is null.  Ids are of any type that has an order.  A text is
+    held whole by the task that reads it.  No other column is read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, shingle, seed, id_col, text_col).select(F.col(id_col).alias("__id"), "text_key", "fp"), "fingerprints")
@@ -197,11 +202,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each component: the one whose id names it.
 
-    Columns stay as they are.  Of repeated rows one stays.  Documents without an id stay
+    Columns stay as they are, whatever their names.  Of repeated rows one stays.  Documents without an id stay
     one per text, where no linked document has an id; of texts that share an id one each.
     """
-    named = docs.withColumn("__tw_key", F.xxhash64(text_col))
+    key, own, text = fresh(docs, "__key", "__id", "__text")
+    named = docs.withColumn(key, F.xxhash64(f"`{text_col}`"))
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__tw_id"), F.col("text_key").alias("__tw_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__tw_id")) & (F.col("__tw_key") == F.col("__tw_text"))
-    return named.join(kept, same, "left_semi").dropDuplicates([id_col, "__tw_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(own), F.col("text_key").alias(text)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.col(key) == F.col(text))
+    out = named.join(kept, same, "left_semi")
+    if not found.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, key])  # moves whole texts again
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

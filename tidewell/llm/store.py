@@ -6,6 +6,8 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -23,17 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may have ended already
+            _delete(spark, folder)
+
+
 class Scratch:
     """Tables written under one folder of the shared space.
 
     ``keep`` writes a DataFrame and returns it read back (with the same schema),
-    so later failures recompute from files.  ``drop`` deletes tables no longer read.
+    so later failures recompute from files.  ``drop`` deletes tables no longer read;
+    tables that results still read go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(_delete_at_exit, spark, self.base)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -44,11 +59,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._tidewell_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, table._tidewell_path)
 
     def settle(self) -> None:
         """Lets Spark delete the shuffle files of steps whose results are written; else they stay until the driver happens to collect garbage."""
