@@ -8,17 +8,19 @@ mean over its positions.  A text's language has the largest sum over its words.
 
 from __future__ import annotations
 
-import gc
 import re
+import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewell.llm.caches import claim
+from tidewell.llm.caches import bounded, claim
 
 #: Longest n-gram that unseen words fall back to.
 LONGEST = 4
@@ -27,11 +29,32 @@ SAMPLE = 1000
 #: Words a worker remembers the scores of.
 CACHE = 300_000
 NONE = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words of texts that hold nothing beyond Latin Extended-B and general punctuation: no separate marks, and few numbers that are neither digits nor letters.
+_PLAIN = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+")
+_BEYOND = re.compile("[^\x00-\u024f\u2000-\u206f]")
+
+
+@lru_cache(maxsize=1)
+def _lettered() -> re.Pattern:
+    """A letter, and the letters and marks (accents, vowel signs) after it."""
+
+    def ranges(kinds: str) -> str:
+        out, start, last = [], None, None
+        for c in chain(range(0x40000), range(0xE0000, 0xE1000)):  # the other planes have neither
+            if unicodedata.category(chr(c))[0] in kinds:
+                start, last = (c, c) if last is None or c > last + 1 else (start, c)
+                out[-1:] = [(start, c)] if out and out[-1][0] == start else [*out[-1:], (start, c)]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters with their marks, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    return (_lettered() if _BEYOND.search(text) else _PLAIN).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -107,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
 
     def count(batches):
-        gc.disable()
+        claim("langid fit")
         total: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -123,7 +146,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 some = items[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([k for (k, _), _ in some], pa.int32()), pa.array([i for (_, i), _ in some]), pa.array([n for _, n in some], pa.int64())], ["lang", "kind", "item", "n"])
 
-    sums = _sampled(docs, id_col, text_col, lang_col, sample).mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= seen)
+    sums = bounded(_sampled(docs, id_col, text_col, lang_col, sample)).mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= seen)
     counts: dict[tuple[int, str], dict[str, int]] = defaultdict(dict)
     langs = set()
     for lang, kind, item, n in sums.toPandas().itertuples(index=False):
@@ -155,37 +178,38 @@ class _Scorer:
         return self.model.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def _predicting(docs: DataFrame, model: Model, text_col: str, finish):
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-
-    def run(batches):
-        gc.disable()
-        scorer = held.value.scorer()
-        for batch in batches:
-            out = [scorer.predict(t.as_py()) for t in batch.column(at)]
-            yield finish(batch, [x for x, _ in out], [s for _, s in out])
-
-    return run
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred (``und`` if the text is null or has no letter), score (the posterior of lang_pred; 0 for ``und``).
 
     One row per input row; ids, null or repeated, are only carried; nothing else is read.
+    A text is held whole by the task that scores it.  Equal scores go to the first language
+    by name.
     """
+    held = docs.sparkSession.sparkContext.broadcast(model)
     some = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
 
-    def finish(batch, langs, scores):
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+    def run(batches):
+        scorer = held.value.scorer()
+        for batch in batches:
+            out = [scorer.predict(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [id_col, "lang_pred", "score"])
 
-    return some.mapInArrow(_predicting(some, model, "__text", finish), f"`{id_col}` {some.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return bounded(some).mapInArrow(run, f"`{id_col}` {some.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """docs whose language is one of ``languages`` (any if None) with a score of ``least`` or more; columns stay as they are."""
+    """docs whose language is one of ``languages`` (any if None) with a score of ``least`` or more.
+
+    Null texts and those without letters go.  Columns stay as they are, whatever their names;
+    only text_col goes through Python.  Repeated rows are judged alike.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def finish(batch, langs, scores):
-        keep = [x != NONE and s >= least and (languages is None or x in languages) for x, s in zip(langs, scores, strict=True)]
-        return batch.filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = held.value.scorer()
+        for texts in batches:
+            found = (scorer.predict(t.as_py()) for t in texts)
+            yield pa.array([x != NONE and s >= least and (languages is None or x in languages) for x, s in found], pa.bool_())
 
-    return docs.mapInArrow(_predicting(docs, model, text_col, finish), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return bounded(docs).where(keep(F.col(f"`{text_col}`").cast("string")))
