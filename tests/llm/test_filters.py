@@ -28,22 +28,38 @@ def test_contamination_equals_brute_force(spark):
     pick = lambda n: " ".join(r.choice(["Alpha", "beta", "GAMMA", "dé", "x1", "y,z", "-"]) for _ in range(n))
     items = [(i, pick(r.randint(0, 9))) for i in range(12)] + [(50, None), (51, "beta"), (52, "beta")]
     docs = [(i, pick(r.randint(0, 30))) for i in range(60)] + [(None, None), (7, "")]
+    docs += docs[3:6] + [(99, " ".join(["beta gamma"] * 3000 + ["dé", pick(2000)]))]  # repeated rows and a long text
     df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (10**6, 60):  # one block, and several merged
-        out = decontam.contamination(df, bench, n=4, one_in=3, max_set_bytes=size).collect()
+    for size in (10**6, 20, 3):  # one set, several merged, and items dealt out to several
+        out = decontam.contamination(df, bench, n=4, one_in=3, max_set_words=size).collect()
         got = sorted(((x.doc_id, x.n_words, x.n_hit, x["items"], x.contaminated, [p for s in x.spans for p in range(s["from"], s["to"])]) for x in out), key=str)
         want = []
         for i, t in docs:
             n, hit, found = brute_hits(t, items, 4)
             want.append((i, n, len(hit), found, len(hit) > 0 and 3 * len(hit) >= n, sorted(hit)))
         assert got == sorted(want, key=str)
-    kept = decontam.decontaminate(df, bench, n=4, one_in=3).collect()
-    assert len(kept) == sum(not w[4] for w in want) and {x["items"] for x in kept} == {"q"}
+        kept = decontam.decontaminate(df, bench, n=4, one_in=3, max_set_words=size).collect()
+        assert len(kept) == sum(not w[4] for w in want) and {x["items"] for x in kept} == {"q"}
+        cut = decontam.decontaminate(df, bench, n=4, one_in=3, remove="spans", max_set_words=size).collect()
+        words = lambda t: len(decontam.words(t))
+        assert sorted((str(x.doc_id), words(x.text)) for x in cut) == sorted((str(w[0]), w[1] - w[2] * w[4]) for w in want)
+    named = bench.selectExpr("concat('i', item_id) as item_id", "text")
+    of = {x.doc_id: x["items"] for x in decontam.contamination(df, named, n=4).collect()}
+    assert all(of[w[0]] == sorted(f"i{k}" for k in w[3]) for w in want if w[0] not in (7, None))
     assert decontam.contamination(df.limit(0), bench).collect() == []
+    assert decontam.decontaminate(df.limit(0), bench).columns == df.columns
     assert not any(x.contaminated for x in decontam.contamination(df, bench.limit(0)).collect())
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam._Rolling, "at", lambda self, total, starts, size: np.full(len(starts), 5, np.uint64))
+    items = [("a", 2, [b"x", b"y", b"z"]), ("b", 2, [b"y", b"z"]), ("c", 1, [b"w"])]
+    found = decontam.WindowSet(items)
+    hit, of = found.scan([b"w", b"y", b"z", b"q", b"z", b"x", b"y"])
+    assert hit.tolist() == [True, True, True, False, False, True, True] and [found.names[i] for i in of] == ["a", "b", "c"]
+
+
 def test_removed_spans_keep_the_rest():
     assert decontam.remove_spans("One, two! Three four.", [(1, 3)]) == "One, !  four."
     assert decontam.remove_spans("é b", []) == "é b"
