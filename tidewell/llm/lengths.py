@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.store import Scratch
+
 #: Lengths a block of the suffix sums spans.
-BLOCK = 1024
+BLOCK = 256
 
 
 def length_histogram(counts: DataFrame, count_col: str = "n_tokens") -> DataFrame:
@@ -27,9 +29,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     truncated_tokens: tokens left when every document is cut to L;
     lost_tokens: tokens cut; n_total and total_tokens: of all documents.
 
-    Sums run within blocks of lengths first and over block totals second (one row
-    per BLOCK lengths), so no task holds the whole histogram.
+    The histogram is written first, so that the corpus is read once.  Sums run within
+    blocks of lengths first and over block totals second (one row per BLOCK lengths), so
+    no task holds the whole histogram.  No rows give no rows.
     """
+    hist = Scratch(hist.sparkSession, "lengths").keep(hist, "histogram")
     block = F.floor(F.col("length") / BLOCK)
     rows = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), block.alias("block"))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
@@ -61,16 +65,15 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, docs_over, truncated_tokens, lost_tokens for any limits, whether or not a document has that length."""
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    over = F.col("length") > F.col("limit")
+    """limit, docs_over, truncated_tokens, lost_tokens for any limits, whether or not a document has that length. No lengths give nulls for tokens."""
     tokens = F.col("length") * F.col("n_docs")
-    left = F.sum(F.when(over, F.col("limit") * F.col("n_docs")).otherwise(tokens))
-    return (
-        sums.join(F.broadcast(wanted))  # the stated limits against one row per length
-        .groupBy("limit")
-        .agg(F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("docs_over"), left.alias("truncated_tokens"), (F.sum(tokens) - left).alias("lost_tokens"))
-    )
+
+    def answer(limit: int):
+        over = F.col("length") > limit
+        left = F.sum(F.when(over, F.col("n_docs") * limit).otherwise(tokens))
+        return F.struct(F.lit(limit).cast("long").alias("limit"), F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("docs_over"), left.alias("truncated_tokens"), (F.sum(tokens) - left).alias("lost_tokens"))
+
+    return sums.agg(F.array(*[answer(int(x)) for x in limits]).alias("a")).select(F.inline("a"))
 
 
 def quantiles(sums: DataFrame, of: list[float]) -> DataFrame:
