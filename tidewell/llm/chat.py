@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.names import fresh
+
 END = "<|end|>\n"
 TURN = "struct<role:string,text:string>"
 
@@ -46,25 +48,31 @@ def preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_col: str
 
     chosen_col and rejected_col are arrays of (role, text).  A null array has no turns; a
     null role or text counts as empty.  Equal conversations have all their turns in the
-    prompt and empty completions.  Every row stays, repeated ones too; ``prefix`` goes
-    before the new names where they would clash.
+    prompt and empty completions; where one begins with all of the other, the other's
+    completion is empty.  Every row stays, repeated ones too.  ``prefix`` goes before the
+    new names; columns that have such a name all the same are replaced, all others are kept
+    whatever their names.  A conversation is held whole in one row.
     """
-    a, b = (F.transform(F.coalesce(F.col(c), F.array().cast(f"array<{TURN}>")), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))) for c in (chosen_col, rejected_col))
-    rows = pairs.withColumn("__a", a).withColumn("__b", b)
-    same = F.zip_with("__a", "__b", lambda x, y: F.coalesce(x == y, F.lit(False)))  # the shorter one is padded with nulls
+    left, right, begin, after_left, after_right = fresh(pairs, "__chosen", "__rejected", "__n", "__chosen_rest", "__rejected_rest")
+    a, b = (F.transform(F.coalesce(F.col(f"`{c}`"), F.array().cast(f"array<{TURN}>")), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))) for c in (chosen_col, rejected_col))
+    rows = pairs.withColumn(left, a).withColumn(right, b)
+    same = F.zip_with(left, right, lambda x, y: F.coalesce(x == y, F.lit(False)))  # the shorter one is padded with nulls
     parted = F.array_position(same, False).cast("int")
-    rows = rows.withColumn("__n", F.when(parted > 0, parted - 1).otherwise(F.size("__a")))
+    rows = rows.withColumn(begin, F.when(parted > 0, parted - 1).otherwise(F.size(left)))
 
     def rest(c: str) -> Column:
-        return F.slice(F.col(c), F.col("__n") + 1, F.greatest(F.size(c) - F.col("__n"), F.lit(0)))
+        return F.slice(F.col(c), F.col(begin) + 1, F.greatest(F.size(c) - F.col(begin), F.lit(0)))
 
-    rows = rows.withColumn("__c", rest("__a")).withColumn("__r", rest("__b"))
-    new = {"prompt_turns": F.col("__n"), "prompt": _render(F.slice("__a", F.lit(1), F.col("__n"))), "chosen_text": _render(F.col("__c")), "rejected_text": _render(F.col("__r")), "chosen_spans": _spans(F.col("__c")), "rejected_spans": _spans(F.col("__r"))}
-    return rows.select(*[F.col(f"`{c}`") for c in pairs.columns], *[v.alias(prefix + k) for k, v in new.items()])
+    rows = rows.withColumn(after_left, rest(left)).withColumn(after_right, rest(right))
+    new = {"prompt_turns": F.col(begin), "prompt": _render(F.slice(left, F.lit(1), F.col(begin))), "chosen_text": _render(F.col(after_left)), "rejected_text": _render(F.col(after_right)), "chosen_spans": _spans(F.col(after_left)), "rejected_spans": _spans(F.col(after_right))}
+    new = {prefix + k: v for k, v in new.items()}
+    kept = [c for c in pairs.columns if c.lower() not in {k.lower() for k in new}]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in new.items()])
 
 
 def cut_answers(conversations: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """conversations with ``rejected`` added: the same turns, the assistant's last one cut to the first half of its characters. Without an assistant's turn, the same."""
+    """conversations with ``rejected`` added: the same turns, the assistant's last one cut to the first half of its characters. Without an assistant's turn, the same. Other columns are kept, but for one named rejected."""
+    (last,) = fresh(conversations, "__at")
     at = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(turns_col), F.lit(1))), F.lit(0), lambda acc, i: F.when(F.try_element_at(F.col(turns_col), i)["role"] == "assistant", i).otherwise(acc))
-    half = F.transform(turns_col, lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("__at"), F.substring(t["text"], F.lit(1), F.floor(F.char_length(t["text"]) / 2).cast("int"))).otherwise(t["text"]).alias("text")))
-    return conversations.withColumn("__at", at).withColumn("rejected", half).drop("__at")
+    half = F.transform(turns_col, lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col(last), F.substring(t["text"], F.lit(1), F.floor(F.char_length(t["text"]) / 2).cast("int"))).otherwise(t["text"]).alias("text")))
+    return conversations.withColumn(last, at).withColumn("rejected", half).drop(last)

@@ -55,9 +55,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def preference_pairs(conversations: DataFrame) -> DataFrame:
+    """conv_id, chosen, rejected. What a conversation is held against goes by its id mod 4: itself with the last answer cut in half, without its last turn, with its last turn said twice, and the conversation of the next id (no turns if there is none)."""
+    own = chat.cut_answers(chat.turns(conversations))
+    following = own.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("following")).where("pmod(conv_id, 4) = 3")
+    case = F.pmod("conv_id", F.lit(4))
+    rejected = F.when(case == 1, F.slice("turns", F.lit(1), F.size("turns") - 1)).when(case == 2, F.concat("turns", F.slice("turns", -1, 1))).when(case == 3, F.col("following")).otherwise(F.col("rejected"))
+    return own.join(following, "conv_id", "left").select("conv_id", F.col("turns").alias("chosen"), rejected.alias("rejected"))
+
+
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with the last answer cut in half."""
-    pairs = chat.cut_answers(chat.turns(table(spark, sf_dir, "conversations"))).withColumnRenamed("turns", "chosen")
+    """Each conversation against another one, as preference_pairs has it."""
+    pairs = preference_pairs(table(spark, sf_dir, "conversations"))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["from"], s["to"])), ",")
     return chat.preferences(pairs).select(
         "conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", F.col("chosen_text").alias("chosen"), F.col("rejected_text").alias("rejected"), shown("chosen_spans").alias("chosen_mask"), shown("rejected_spans").alias("rejected_mask")
@@ -68,28 +77,35 @@ OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations
 ), a AS (
-  SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS last_i FROM t
-), b AS (
-  SELECT *, CASE WHEN i = last_i THEN text[1:length(text) // 2] ELSE text END AS cut FROM a
-), c AS (
-  SELECT *, coalesce(bool_or(cut <> text) OVER (PARTITION BY conv_id), FALSE) AS differs FROM b
-), d AS (
-  SELECT *, differs AND i >= last_i AS later, '<|' || role || '|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail FROM c
+  SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS last_i, count(*) OVER (PARTITION BY conv_id) AS n, (conv_id % 4 + 4) % 4 AS k FROM t
+), other AS (
+  SELECT conv_id, i, role, CASE WHEN i = last_i THEN text[1:length(text) // 2] ELSE text END AS text FROM a WHERE k = 0
+  UNION ALL SELECT conv_id, i, role, text FROM a WHERE k = 1 AND i < n
+  UNION ALL SELECT conv_id, i, role, text FROM a WHERE k = 2
+  UNION ALL SELECT conv_id, i + 1, role, text FROM a WHERE k = 2 AND i = n
+  UNION ALL SELECT conv_id - 1, i, role, text FROM a WHERE k = 0
+), parted AS (
+  SELECT conv_id, min(i) AS at FROM (
+    SELECT coalesce(a.conv_id, o.conv_id) AS conv_id, coalesce(a.i, o.i) AS i FROM a FULL JOIN other o ON a.conv_id = o.conv_id AND a.i = o.i
+    WHERE a.i IS NULL OR o.i IS NULL OR a.role <> o.role OR a.text <> o.text) GROUP BY conv_id
+), said AS (
+  SELECT s.conv_id, side, i, i >= coalesce(p.at, i + 1) AS later, role, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
+  FROM (SELECT conv_id, 1 AS side, i, role, text FROM t UNION ALL SELECT conv_id, 2, i, role, text FROM other WHERE conv_id IN (SELECT conv_id FROM t)) s LEFT JOIN parted p ON s.conv_id = p.conv_id
 ), e AS (
-  SELECT *, sum(length(head || text || tail)) OVER w AS chosen_to, sum(length(head || cut || tail)) OVER w AS rejected_to FROM d
-  WINDOW w AS (PARTITION BY conv_id, later ORDER BY i ROWS UNBOUNDED PRECEDING)
+  SELECT *, (sum(length(head || body)) OVER (PARTITION BY conv_id, side, later ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS ends FROM said
 )
-SELECT conv_id, count(*) FILTER (WHERE NOT later)::BIGINT AS prompt_turns,
-  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (WHERE NOT later), '') AS prompt,
-  coalesce(string_agg(head || text || tail, '' ORDER BY i) FILTER (WHERE later), '') AS chosen,
-  coalesce(string_agg(head || cut || tail, '' ORDER BY i) FILTER (WHERE later), '') AS rejected,
-  coalesce(string_agg((chosen_to - length(text || tail))::BIGINT || '-' || chosen_to::BIGINT, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg((rejected_to - length(cut || tail))::BIGINT || '-' || rejected_to::BIGINT, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS rejected_mask
+SELECT conv_id, count(*) FILTER (WHERE NOT later AND side = 1)::BIGINT AS prompt_turns,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE NOT later AND side = 1), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE later AND side = 1), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE later AND side = 2), '') AS rejected,
+  coalesce(string_agg((ends - length(body)) || '-' || ends, ',' ORDER BY i) FILTER (WHERE later AND side = 1 AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((ends - length(body)) || '-' || ends, ',' ORDER BY i) FILTER (WHERE later AND side = 2 AND role = 'assistant'), '') AS rejected_mask
 FROM e GROUP BY conv_id
 """
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and items of every document against the benchmark, and whether it is contaminated."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -128,6 +144,7 @@ FROM doc LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token lengths of all documents with the suffix sums that answer every context limit."""
     counts = bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return lengths.suffix_sums(lengths.length_histogram(counts))
 

@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.names import fresh
+
+#: Times of one domain that go to one task.
+MOST = 1_000_000
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, without user, port or a final dot; null if there is none."""
@@ -35,22 +40,33 @@ def intervals(entries: DataFrame, domain_col: str = "domain", time_col: str = "s
     return once.withColumn("until", F.lead("since").over(order)).where("listed").select("domain", "since", "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", domain_col: str = "domain", since_col: str = "since", listed_col: str = "listed") -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", domain_col: str = "domain", since_col: str = "since", listed_col: str = "listed", most: int = MOST) -> DataFrame:
     """captures with host, blocked (boolean), blocked_by (the longest listed domain) and blocked_since added.
 
-    A capture without host or time is not blocked.  Each distinct host and time is judged
-    once, so a host with very many captures is one row per time; equal keys are then joined
-    back, which adaptive execution splits where they are many.  Every row stays, repeated
-    ones too; columns of these four names are replaced.
+    A capture without host or time is not blocked; an empty url has no host.  Each distinct
+    host and time is judged once; equal keys are then joined back, which adaptive execution
+    splits where they are many.  Every row stays, repeated ones too; columns of these four
+    names are replaced, others are kept whatever their names.
+
+    The as-of join merges the times asked about and the starts of intervals, domain by
+    domain in the order of time; the last start before a time is the interval that may hold.
+    A domain with more than ``most`` times is dealt out to several parts, each with all its
+    intervals.
     """
     new = ["host", "blocked", "blocked_by", "blocked_since"]
-    named = captures.drop(*new).withColumn("host", host_of(F.col(url_col)))
-    asked = named.select("host", F.col(time_col).alias("__time")).where("host is not null and __time is not null").distinct()
+    named = captures.drop(*new).withColumn("host", host_of(F.col(f"`{url_col}`")))
+    by, at, best = fresh(named, "__host", "__time", "__best")
+    asked = named.select("host", F.col(f"`{time_col}`").alias("time")).where("host is not null and time is not null").distinct()
     spans = intervals(entries, domain_col, since_col, listed_col)
-    tried = asked.select("host", "__time", F.explode(domains_of(F.col("host"))).alias("domain"))
-    held = (F.col("__time") >= F.col("since")) & (F.col("until").isNull() | (F.col("__time") < F.col("until")))
-    hits = tried.join(spans, "domain").where(held)
-    best = F.max_by(F.struct("domain", "since"), F.length("domain"))
-    verdict = hits.groupBy("host", "__time").agg(best.alias("__best")).select(F.col("host").alias("__host"), "__time", "__best")
-    out = named.join(verdict, (F.col("host") == F.col("__host")) & (F.col(time_col) == F.col("__time")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in named.columns], F.col("__best").isNotNull().alias("blocked"), F.col("__best.domain").alias("blocked_by"), F.col("__best.since").alias("blocked_since"))
+    listed = spans.select("domain").distinct()
+    tried = asked.select("host", "time", F.explode(domains_of(F.col("host"))).alias("domain")).join(listed, "domain", "left_semi")
+    parts = tried.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    starts = spans.join(parts, "domain").select("domain", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("since").alias("time"), F.struct("since", "until").alias("span"), F.lit(None).cast("string").alias("host"))
+    times = tried.join(parts, "domain").select("domain", F.pmod(F.xxhash64("host", "time"), F.col("parts")).cast("int").alias("part"), "time", F.lit(None).cast(starts.schema["span"].dataType).alias("span"), "host")
+    order = Window.partitionBy("domain", "part").orderBy("time", F.col("host").isNotNull())  # starts before the times that equal them
+    merged = starts.unionByName(times).withColumn("last", F.last("span", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = merged.where(F.col("host").isNotNull() & F.col("last").isNotNull() & (F.col("last.until").isNull() | (F.col("time") < F.col("last.until"))))
+    longest = F.max_by(F.struct("domain", F.col("last.since").alias("since")), F.length("domain"))
+    verdict = hits.groupBy("host", "time").agg(longest.alias(best)).toDF(by, at, best)
+    out = named.join(verdict, (F.col("host") == F.col(by)) & (F.col(f"`{time_col}`") == F.col(at)), "left")
+    return out.select(*[F.col(f"`{c}`") for c in named.columns], F.col(best).isNotNull().alias("blocked"), F.col(best)["domain"].alias("blocked_by"), F.col(best)["since"].alias("blocked_since"))
