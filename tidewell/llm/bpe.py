@@ -16,7 +16,6 @@ tokens aside: a null text has no tokens, and special strings are ordinary text.
 from __future__ import annotations
 
 import base64
-import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,10 +24,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN as BY_SPACE
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.caches import claim
+from tidewell.llm.caches import bounded, claim
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this get a tree of their own.
@@ -138,6 +138,8 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        #: The published pattern for these vocabularies puts a space with the word after it, so that a text can be taken word by word.
+        self.by_space = pattern == BY_SPACE
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
@@ -232,18 +234,19 @@ class ByteBpe:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as int32 bytes.
 
-        A text is taken word by word, each with the space before it, from a bounded
-        cache; where white space ties words together, the pattern splits it as a whole.
+        With the pattern BY_SPACE a text is taken word by word, each with the space before
+        it, from a bounded cache, unless white space ties words together.  Else the pattern
+        splits it as a whole.
         """
         if len(self.words) > CACHE:
             self.words.clear()
-        words, split = self.words, self.pattern.findall
+        words, split = self.words, self._split
         plan, new, loose = [], set(), set()
         for t in texts:
             if not t:
                 plan.append(((), ()))
                 continue
-            if _KNOT.search(t):
+            if not self.by_space or _KNOT.search(t):
                 head, tail = split(t), ()
             else:
                 first, *tail = t.split(" ")
@@ -262,6 +265,10 @@ class ByteBpe:
         of = words.__getitem__
         return [b"".join(chain(map(get, head), map(of, tail))) for head, tail in plan]
 
+    def _split(self, text: str) -> list[str]:
+        """The pattern's matches."""
+        return [m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text)
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
@@ -299,14 +306,14 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """id_col, ids (array<int>) and decoded (binary): each text encoded, and its ids decoded again.
 
     One row per input row. A null text counts as empty: no ids and no bytes. Repeated
-    rows give repeated results; a null id stays null; other columns are not read.
+    rows give repeated results; a null id stays null; other columns are not read.  A
+    text and its ids are held whole by the task that encodes it.
     """
     some = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        gc.disable()  # millions of small objects, none in cycles
+        claim(f"bpe {path}", encoder.cache_clear)
         bpe = encoder(path, pattern)
-        claim(f"bpe {path}", bpe.words.clear)
         for batch in batches:
             for at, texts in _groups(batch, 1):
                 rows = bpe.encode_many(texts)
@@ -317,19 +324,18 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
     kind = some.schema[0].dataType.simpleString()
-    return some.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return bounded(some).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """n_tokens (long) of each row's text; a null text has none."""
+    """n_tokens (long), one row per input row, repeated rows included; a null text has none. No other column is read."""
 
     def run(batches):
-        gc.disable()  # millions of small objects, none in cycles
+        claim(f"bpe {path}", encoder.cache_clear)
         bpe = encoder(path, pattern)
-        claim(f"bpe {path}", bpe.words.clear)
         for batch in batches:
             for _, texts in _groups(batch, 0):
                 counts = [len(x) // 4 for x in bpe.encode_many(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n_tokens"])
 
-    return df.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "n_tokens long")
+    return bounded(df.select(F.col(text_col).cast("string").alias("__text"))).mapInArrow(run, "n_tokens long")
