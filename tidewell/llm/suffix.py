@@ -14,13 +14,17 @@ bounded size that hold every window's equals together:
    segment serves as the gram's trunk; windows that agree with it are its repeats, and
    the others branch off by the side, place and value of the byte where they part from
    it.  Each round fixes a byte more, equal strings are met once, and rounds go on
-   until no branch is too large.
+   until no branch is too large.  Grams are compared byte by byte: one that only shares
+   its hash with the trunk's branches off by its bytes.
 5. Each task glues its groups to blocks of about ``BLOCK`` bytes and expands intervals.
+
+Hashes decide without a look at the bytes in two places: whole texts of equal 95 bits (2.)
+and segments of equal 128 bits (4.) are taken for equal.
 """
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from tidewell.llm.bwt import later_repeats
+from tidewell.llm.caches import bounded, claim
 from tidewell.llm.store import Scratch
 
 #: Bytes of the grams that segments are dealt out by (fewer if windows are shorter).
@@ -37,11 +42,15 @@ GRAM = 32
 #: Segments of one gram that go to one task.
 MOST = 512
 #: Bytes of a block whose transform is built at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Windows of a segment at most.
 RUN = 127
 #: Set in a segment's run where its gram stands in it more than once, so that a window may repeat inside.
 FOLDED = 128
+#: Parts that the segments of one gram are dealt out to when they meet their trunk.
+SLICES = 16
+#: Segments of whole texts that a task gathers before it hands them on.
+HELD = 400_000
 #: Bytes of text that grams are hashed of at once.
 CHUNK = 262_144
 _MASK = (1 << 64) - 1
@@ -129,7 +138,7 @@ def _blob(column: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
-def _pack(buckets: int, least: int, gram: int):
+def _pack(buckets: int, least: int, gram: int, kind: type[Cutter] = Cutter):
     """Documents -> blobs of gram hashes and places, by bucket of the hash. A whole text goes in as a segment of no windows."""
 
     def flush(parts):
@@ -152,8 +161,8 @@ def _pack(buckets: int, least: int, gram: int):
         )
 
     def run(batches):
-        gc.disable()
-        cutter, parts, held = Cutter(least, gram), [], 0
+        claim("suffix")
+        cutter, parts, held = kind(least, gram), [], 0
         for batch in batches:
             did, rank, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for at in range(0, batch.num_rows, 64):
@@ -165,7 +174,7 @@ def _pack(buckets: int, least: int, gram: int):
                     marks = [_mark(texts[i]) for i in long]
                     parts.append((np.array([m[0] for m in marks], np.uint64), did[at + long], rank[at + long], np.array([m[1] for m in marks], np.int64), np.zeros(len(long), np.int64)))
                 held += len(key)
-                if held > 1_500_000:
+                if held > HELD:
                     yield flush(parts)
                     parts, held = [], 0
         if parts:
@@ -194,6 +203,7 @@ def _match(most: int):
         return pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(rank[keep]), pa.array(np.where(run > 0, start, 0)[keep].astype(np.int32)), pa.array((run[keep] % FOLDED).astype(np.int16)), pa.array(key[keep].view(np.int64)), pa.array((count > most)[keep])], ["did", "rank", "start", "run", "key", "hot"])
 
     def run(batches):
+        claim("suffix")
         now, parts = None, []
         for batch in batches:
             cols = [_blob(batch.column(i), k) for i, k in ((1, "<u8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "u1"))]
@@ -257,12 +267,12 @@ class _Seen:
         return row
 
 
-def _fetch(least: int, gram: int):
+def _fetch(least: int, gram: int, kind: type[Cutter] = Cutter):
     """Documents with the places of their segments -> the segments' bytes. Those of frequent grams are parted by where the gram stands."""
 
     def run(batches):
-        gc.disable()
-        cutter, seen, rows, size = Cutter(least, gram), _Seen(least), [], 0
+        claim("suffix")
+        cutter, seen, rows, size = kind(least, gram), _Seen(least), [], 0
         for batch in batches:
             for did, rank, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
                 places = places.as_py()
@@ -299,6 +309,7 @@ def _branch(least: int, gram: int):
     """Segments with their gram's trunk -> spans that repeat the trunk (key null) and the branches of the rest."""
 
     def run(batches):
+        claim("suffix")
         seen = _Seen(least)
         for batch in batches:
             rows = []
@@ -306,6 +317,9 @@ def _branch(least: int, gram: int):
                 if content == trunk and anchor == spot:
                     continue
                 windows = len(content) - least + 1
+                if (own := content[anchor : anchor + gram]) != trunk[spot : spot + gram]:
+                    rows.append(seen.row(_row(xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + b"G" + own), content, did, rank, start, anchor, True)))
+                    continue
                 left = _shared(content[:anchor][::-1], trunk[:spot][::-1])
                 right = _shared(content[anchor + gram :], trunk[spot + gram :])
                 low, high = max(0, anchor - left), min(windows, anchor + gram + right - least + 1)
@@ -354,7 +368,7 @@ def _expand(least: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["did", "rank", "from", "to"])
 
     def run(batches):
-        gc.disable()
+        claim("suffix")
         now, group, groups, size = None, [], [], 0
         for batch in batches:
             for key, content, did, rank, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -374,15 +388,15 @@ def _expand(least: int):
     return run
 
 
-def _cut(batch):
-    """For each document of a batch its bytes, merged spans and kept bytes."""
-    for text, whole, spans in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+def _cut(texts: pa.Array, wholes: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, list[list[int]], bytes]]:
+    """For each document its bytes, merged spans and kept bytes."""
+    for text, whole, found in zip(texts, wholes, spans, strict=True):
         raw = (text.as_py() or "").encode()
         if whole.as_py():
             runs = [[0, len(raw)]] if raw else []
         else:
             runs = []
-            for s in sorted((x["from"], x["to"]) for x in spans.as_py() or ()):
+            for s in sorted((x["from"], x["to"]) for x in found.as_py() or ()):
                 if runs and s[0] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], s[1])
                 else:
@@ -395,10 +409,11 @@ def _finish(id_col: str):
     """Documents with their spans -> n_bytes, merged spans and kept bytes."""
 
     def run(batches):
+        claim("suffix")
         span = pa.struct([("from", pa.int64()), ("to", pa.int64())])
         for batch in batches:
             n_bytes, merged, kept = [], [], []
-            for raw, runs, left in _cut(batch):
+            for raw, runs, left in _cut(*batch.columns[1:]):
                 n_bytes.append(len(raw))
                 merged.append([{"from": a, "to": b} for a, b in runs])
                 kept.append(left)
@@ -408,41 +423,49 @@ def _finish(id_col: str):
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__row, did, rank, text: __row holds all columns; did orders documents; rank orders those that share an id, which is 0 for all where ids are unique."""
-    some = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.col(text_col).cast("string").alias("text"))
+    """__row, did, rank: __row holds all columns; did orders documents; rank orders those that share an id, which is 0 for all where ids are unique."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}: ids are integers, whose order says which of two equal strings is the earlier one")
+    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
+    some = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), did.alias("did"))
     twice = some.groupBy("did").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if twice.isEmpty():
-        return some.select("__row", "did", F.lit(0).alias("rank"), "text")
-    of = Window.partitionBy("did").orderBy(F.xxhash64("text"), "text")
-    return some.select("__row", "did", (F.row_number().over(of) - 1).cast("int").alias("rank"), "text")
+        return some.withColumn("rank", F.lit(0))
+    text = F.col("__row")[text_col].cast("string")
+    of = Window.partitionBy("did").orderBy(F.col("__row")[id_col].isNull(), F.xxhash64(text), text)
+    return some.withColumn("rank", (F.row_number().over(of) - 1).cast("int"))
 
 
-def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, cutter: type[Cutter] = Cutter) -> DataFrame:
     """id_col, n_bytes (long), spans (array of maximal removed [from, to) byte ranges), kept (binary: the bytes left).
 
-    One row per input row.  A null text counts as empty; texts shorter than ``least``
-    bytes lose nothing.  A null id comes after all others.  Documents that share an id
-    (repeated rows among them) count as documents one after the other, in the order of
-    their texts' hashes, so that of equal rows only one keeps its text.  No other column
-    is read.  Kept bytes may begin or end inside a character.
+    One row per input row.  Ids are integers of any width; others raise TypeError.  A null
+    text counts as empty; texts shorter than ``least`` bytes lose nothing.  A null id comes
+    after all others.  Documents that share an id (repeated rows among them) count as
+    documents one after the other, in the order of their texts' hashes, so that of equal
+    rows only one keeps its text.  No other column is read.  Kept bytes may begin or end
+    inside a character.  A text, and all spans of it, are held whole by one task.  ``cutter``
+    hashes grams; the result does not depend on it.
     """
-    ready = _found(docs.select(id_col, text_col), least, id_col, text_col, most).select(F.col("__row")[id_col].alias("__id"), "text", "whole", "spans")
-    return ready.mapInArrow(_finish(id_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
+    ready = _found(docs.select(id_col, text_col), least, id_col, text_col, most, cutter)
+    ready = ready.select(F.col("__row")[id_col].alias("__id"), F.col("__row")[text_col].cast("string").alias("text"), "whole", "spans")
+    return bounded(ready).mapInArrow(_finish(id_col), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
 
 
-def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int) -> DataFrame:
-    """__row (all columns), text, whole, spans, one row per input row."""
-    spark = docs.sparkSession
+def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int, cutter: type[Cutter] = Cutter) -> DataFrame:
+    """__row (all columns), whole, spans, one row per input row."""
+    spark = bounded(docs).sparkSession
     gram = min(GRAM, max(1, least // 2))
     scratch = Scratch(spark, "suffix")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(docs, id_col, text_col)
-    packed = rows.select("did", "rank", "text").mapInArrow(_pack(n, least, gram), "bucket int, keys binary, dids binary, ranks binary, starts binary, runs binary")
+    texts = rows.select("did", "rank", F.col("__row")[text_col].cast("string").alias("text"))
+    packed = texts.mapInArrow(_pack(n, least, gram, cutter), "bucket int, keys binary, dids binary, ranks binary, starts binary, runs binary")
     places = scratch.keep(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(most), "did long, rank int, start int, run short, key long, hot boolean"), "places")
     scratch.settle()
 
     of = places.groupBy("did", "rank").agg(F.collect_list(F.struct("start", "run", "key", "hot")).alias("places"))
-    cut = rows.join(of, ["did", "rank"]).select("did", "rank", "text", "places").mapInArrow(_fetch(least, gram), _SEGMENT)
+    cut = texts.join(of, ["did", "rank"]).select("did", "rank", "text", "places").mapInArrow(_fetch(least, gram, cutter), _SEGMENT)
     segments = scratch.keep(cut, "segments")
     scratch.settle()
 
@@ -457,9 +480,9 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int) -
         firsts = hot.groupBy("key", "same", "same2").agg(F.min(at).alias("first"))
         once = hot.join(firsts, ["key", "same", "same2"])
         spans.append(once.where(at != F.col("first")).select("did", "rank", F.col("start").alias("from"), (F.col("start") + F.length("content")).alias("to")))
-        once = scratch.keep(once.where(at == F.col("first")).drop("first"), "once")
+        once = scratch.keep(once.where(at == F.col("first")).drop("first").withColumn("slice", F.pmod(F.xxhash64("same"), F.lit(SLICES)).cast("int")), "once")
         trunks = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("content", "anchor"), at).alias("trunk"))
-        parted = once.join(trunks, "key")
+        parted = once.join(trunks.withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES))))), ["key", "slice"])
         groups.append(parted.where(F.col("n") <= most).select("key", "content", "did", "rank", "start"))
         branches = parted.where(F.col("n") > most).select("key", "content", "did", "rank", "start", "anchor", "trunk.content", "trunk.anchor").toDF("key", "content", "did", "rank", "start", "anchor", "trunk", "spot").mapInArrow(_branch(least, gram), _SEGMENT)
         branches = scratch.keep(branches, "branches")
@@ -480,7 +503,7 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int) -
     by_doc = ranges.groupBy("did", "rank").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     whole = places.where("run = 0").select("did", "rank", F.lit(True).alias("whole")).distinct()
     found = by_doc.join(whole, ["did", "rank"], "full")
-    return rows.join(found, ["did", "rank"], "left").select("__row", "text", "whole", "spans")
+    return rows.join(found, ["did", "rank"], "left").select("__row", "whole", "spans")
 
 
 def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -488,16 +511,16 @@ def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", t
 
     Documents without repeats stay as they are.  Bytes of a character that was cut in two
     are left out.  Repeated rows, shared and null ids are as in ``repeats``: each row is cut
-    by its own spans.  Other columns are unchanged.
+    by its own spans.  Other columns are unchanged, whatever their names.
     """
-    row = T.StructField("__row", T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
-    out = _found(docs, least, id_col, text_col, most).mapInArrow(_texts, T.StructType([row, T.StructField("__kept", T.StringType())]))
-    out = out.where("__kept is null or __kept <> ''")
-    return out.select(*[(F.coalesce("__kept", F.col("__row")[c]) if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])
 
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        claim("suffix")
+        for batch in batches:  # null where nothing is cut
+            yield pa.array([left.decode(errors="ignore") if runs else None for _, runs, left in _cut(*batch)], pa.string())
 
-def _texts(batches):
-    """__row and the kept text, which is null where nothing is cut."""
-    for batch in batches:
-        kept = [left.decode(errors="ignore") if runs else None for _, runs, left in _cut(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["__row", "__kept"])
+    found, row = _found(docs, least, id_col, text_col, most), F.col("__row")
+    # said not to be deterministic, so that the filter does not run it a second time
+    out = found.select("__row", kept.asNondeterministic()(row[text_col].cast("string"), "whole", "spans").alias("__kept")).where("__kept is null or __kept <> ''")
+    return out.select(*[(F.coalesce("__kept", row[c]) if c == text_col else row[c]).alias(c) for c in docs.columns])
