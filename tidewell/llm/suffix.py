@@ -457,6 +457,7 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int, c
     spark = bounded(docs).sparkSession
     gram = min(GRAM, max(1, least // 2))
     scratch = Scratch(spark, "suffix")
+    # joins are told to merge: both sides grow with the corpus, and well compressed files look small enough to broadcast
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(docs, id_col, text_col)
     texts = rows.select("did", "rank", F.col("__row")[text_col].cast("string").alias("text"))
@@ -465,7 +466,7 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int, c
     scratch.settle()
 
     of = places.groupBy("did", "rank").agg(F.collect_list(F.struct("start", "run", "key", "hot")).alias("places"))
-    cut = texts.join(of, ["did", "rank"]).select("did", "rank", "text", "places").mapInArrow(_fetch(least, gram, cutter), _SEGMENT)
+    cut = texts.join(of.hint("merge"), ["did", "rank"]).select("did", "rank", "text", "places").mapInArrow(_fetch(least, gram, cutter), _SEGMENT)
     segments = scratch.keep(cut, "segments")
     scratch.settle()
 
@@ -478,11 +479,11 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int, c
     while not hot.isEmpty():
         at = F.struct("did", "rank", "start")
         firsts = hot.groupBy("key", "same", "same2").agg(F.min(at).alias("first"))
-        once = hot.join(firsts, ["key", "same", "same2"])
+        once = hot.join(firsts.hint("merge"), ["key", "same", "same2"])
         spans.append(once.where(at != F.col("first")).select("did", "rank", F.col("start").alias("from"), (F.col("start") + F.length("content")).alias("to")))
         once = scratch.keep(once.where(at == F.col("first")).drop("first").withColumn("slice", F.pmod(F.xxhash64("same"), F.lit(SLICES)).cast("int")), "once")
         trunks = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("content", "anchor"), at).alias("trunk"))
-        parted = once.join(trunks.withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES))))), ["key", "slice"])
+        parted = once.join(trunks.withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES))))).hint("merge"), ["key", "slice"])
         groups.append(parted.where(F.col("n") <= most).select("key", "content", "did", "rank", "start"))
         branches = parted.where(F.col("n") > most).select("key", "content", "did", "rank", "start", "anchor", "trunk.content", "trunk.anchor").toDF("key", "content", "did", "rank", "start", "anchor", "trunk", "spot").mapInArrow(_branch(least, gram), _SEGMENT)
         branches = scratch.keep(branches, "branches")
@@ -503,7 +504,7 @@ def _found(docs: DataFrame, least: int, id_col: str, text_col: str, most: int, c
     by_doc = ranges.groupBy("did", "rank").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     whole = places.where("run = 0").select("did", "rank", F.lit(True).alias("whole")).distinct()
     found = by_doc.join(whole, ["did", "rank"], "full")
-    return rows.join(found, ["did", "rank"], "left").select("__row", "whole", "spans")
+    return rows.join(found.hint("merge"), ["did", "rank"], "left").select("__row", "whole", "spans")
 
 
 def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
