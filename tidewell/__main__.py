@@ -34,7 +34,7 @@ def main() -> None:
         return
     with open(args.script, encoding="utf-8") as f:
         source = f.read()
-    data = bars.from_json(spark, args.data) if args.data else bars.synthetic(spark, bars=args.bars)
+    data = bars.from_json(spark, args.data) if args.data else bars.from_arrays(spark, bars.walk(args.bars))
     out = script.run(data, source, chart_tf=args.tf)
     drawn = script.plots_of(source, chart_tf=args.tf)
     if args.viz:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidewell.plans.interpreter import PRICES, Bars, Handle, Program, Record
+from tidewell.plans.lower import lower
 
 EMPTY = {c: [] for c in (*PRICES, "time")}
 
@@ -56,23 +57,58 @@ def run(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf: str
     schema = "symbol string, bar_index long, time_ms long, " + "".join(f"plot_{i} double, " for i in range(n)) + "colors map<int,string>, vars map<string,string>"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        program = Program(source, _bars(pdf), inputs, chart_tf).run()
-        out = pdf[["symbol", "bar_index", "time_ms"]].copy()
-        for i, p in enumerate(program.plots):
-            values = p["values"] + [math.nan] * (len(pdf) - len(p["values"]))
-            out[f"plot_{i}"] = pd.array([_number(v) for v in values], dtype="Float64")
+        program = Program(source, _bars(pdf), inputs, chart_tf)
+        shown = []
+        for _ in range(len(pdf)):
+            program.step()
+            shown.append({k: json.dumps(_json(v)) for k, v in program.kept().items()})
+        out = _plotted(pdf, program)
         out["colors"] = [{i: p["colors"][k] for i, p in enumerate(program.plots) if k < len(p["colors"]) and p["colors"][k] is not None} for k in range(len(pdf))]
-        out["vars"] = [{k: json.dumps(_json(v)) for k, v in row.items()} for row in program.snapshots]
+        out["vars"] = shown
         return out
 
     return _grouped(bars, schema, one)
 
 
+def _plotted(pdf: pd.DataFrame, program: Program) -> pd.DataFrame:
+    out = pdf[["symbol", "bar_index", "time_ms"]].copy()
+    for i, p in enumerate(program.plots):
+        values = p["values"] + [math.nan] * (len(pdf) - len(p["values"]))
+        out[f"plot_{i}"] = pd.array([_number(v) for v in values], dtype="Float64")
+    return out
+
+
+def plots(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf: str = "D", lowered: bool = True) -> DataFrame:
+    """symbol, bar_index, time_ms and a double column per plot, as in ``run``.
+
+    A script of value functions, windows and running totals becomes columns (``lower``);
+    one whose plots need more runs bar by bar, and so do all if ``lowered`` is false.
+    """
+    n = len(plots_of(source, inputs, chart_tf))
+    if lowered and (out := lower(bars, source, inputs)) is not None:
+        return out
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _plotted(pdf, Program(source, _bars(pdf), inputs, chart_tf).run(snapshots=False))
+
+    return _grouped(bars, "symbol string, bar_index long, time_ms long" + "".join(f", plot_{i} double" for i in range(n)), one)
+
+
+def final(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf: str = "D") -> DataFrame:
+    """symbol, name and value (JSON) of each ``var`` variable after the last bar."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = Program(source, _bars(pdf), inputs, chart_tf).run(snapshots=False).kept()
+        return pd.DataFrame([(pdf["symbol"].iloc[0], k, json.dumps(_json(v))) for k, v in kept.items()], columns=["symbol", "name", "value"])
+
+    return _grouped(bars, "symbol string, name string, value string", one)
+
+
 def drawings(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf: str = "D") -> DataFrame:
     """symbol, bar_index of creation, kind, id and final state (JSON) of every drawing."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        program = Program(source, _bars(pdf), inputs, chart_tf).run()
+        program = Program(source, _bars(pdf), inputs, chart_tf).run(snapshots=False)
         return pd.DataFrame([(pdf["symbol"].iloc[0], d.bar, d.kind, d.id, json.dumps(_json(d.state))) for d in program.drawings], columns=["symbol", "bar_index", "kind", "id", "state"])
 
     return _grouped(bars, "symbol string, bar_index long, kind string, id long, state string", one)
@@ -85,7 +121,7 @@ def trades(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf: s
     """symbol, trade (from 0) and the closed trades of a strategy."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        broker = Program(source, _bars(pdf), inputs, chart_tf).run().broker
+        broker = Program(source, _bars(pdf), inputs, chart_tf).run(snapshots=False).broker
         rows = [(pdf["symbol"].iloc[0], i, *[getattr(t, k) for k in TRADE]) for i, t in enumerate(broker.trades if broker else [])]
         return pd.DataFrame(rows, columns=["symbol", "trade", *TRADE])
 
@@ -111,7 +147,7 @@ def summary(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf:
     """symbol, name, value: a strategy's figures at the last close."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        program = Program(source, _bars(pdf), inputs, chart_tf).run()
+        program = Program(source, _bars(pdf), inputs, chart_tf).run(snapshots=False)
         found = program.use_broker().properties(float(pdf["close"].iloc[-1]))
         rows = [(pdf["symbol"].iloc[0], k, _number(v)) for k, v in found.items() if not isinstance(v, str)]
         return pd.DataFrame(rows, columns=["symbol", "name", "value"])
@@ -120,7 +156,7 @@ def summary(bars: DataFrame, source: str, inputs: dict | None = None, chart_tf:
 
 
 def check(texts: DataFrame, name_col: str = "path", text_col: str = "value") -> DataFrame:
-    """name, ok, problem: whether each script of a table compiles (as from spark.read.text(..., wholetext=True))."""
+    """name, ok, problem: whether each script of a table compiles (as from spark.read.text(..., wholetext=True)). ok is null where the compiler itself fails."""
 
     def run_(batches):
         for pdf in batches:
@@ -129,8 +165,10 @@ def check(texts: DataFrame, name_col: str = "path", text_col: str = "value") ->
                 try:
                     Program(text or "", Bars.of(EMPTY))
                     rows.append((name, True, None))
-                except (ValueError, RecursionError, KeyError, TypeError, IndexError, AttributeError) as e:
+                except (ValueError, RecursionError) as e:
                     rows.append((name, False, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=["name", "ok", "problem"])
+                except (KeyError, TypeError, IndexError, AttributeError) as e:
+                    rows.append((name, None, f"fault of the compiler: {type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["name", "ok", "problem"]).astype({"ok": "boolean"})
 
     return texts.selectExpr(f"`{name_col}` AS name", f"`{text_col}` AS text").mapInPandas(run_, "name string, ok boolean, problem string")

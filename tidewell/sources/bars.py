@@ -6,6 +6,8 @@ symbol in time order, and ties in time are broken by a stated column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,29 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", symbol: str | No
     return from_table(df, col(symbol), col(time_ms), col(order) if order else col(time_ms))
 
 
+#: Multiplier, increment and mask of the command line's made-up bars, and their first seed and price.
+WALK = (1103515245, 12345, 0x7FFFFFFF, 12345, 100.0)
+
+
+def walk(n: int) -> dict[str, list]:
+    """The command line's made-up daily bars, as lists: the same for all runs. The product of the generator is rounded to a double."""
+    times, plus, mask, seed, price = WALK
+    out: dict[str, list] = {c: [] for c in (*PRICES, "time")}
+
+    def draw() -> float:
+        nonlocal seed
+        seed = int(float(seed) * times + plus) & mask
+        return seed / mask
+
+    for i in range(n):
+        before = price
+        price *= 1 + (draw() - 0.5) * 0.04
+        top, bottom = max(before, price) * (1 + draw() * 0.01), min(before, price) * (1 - draw() * 0.01)
+        for name, x in zip(out, (before, top, bottom, price, math.floor(1000 + draw() * 9000 + 0.5), 1_577_836_800_000 + i * 86_400_000), strict=True):
+            out[name].append(x)
+    return out
+
+
 def synthetic(spark: SparkSession, symbols: int = 1, bars: int = 100, seed: int = 1, step_ms: int = 86_400_000, start_ms: int = 1_577_836_800_000) -> DataFrame:
     """Deterministic bars for trials, made where they are used: sums of hashed moves around 100."""
     rows = spark.range(symbols * bars).select((F.col("id") % symbols).cast("string").alias("symbol"), F.floor(F.col("id") / symbols).alias("i"))
