@@ -3,15 +3,17 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import series
+from tidewell.functions import kernels, series
 from tidewell.operators import scan
 from tidewell.operators.study import Study
 from tidewell.sources import bars as B
 
 NAN = math.nan
+#: The bars and, below, the results of published examples that the states must give.
 SAMPLE = {"open": [100, 101, 102, 101, 103, 104, 105, 104, 106, 107], "high": [102, 103, 104, 103, 105, 106, 107, 106, 108, 109], "low": [99, 100, 101, 100, 102, 103, 104, 103, 105, 106], "close": [101, 102, 103, 102, 104, 105, 106, 105, 107, 108], "volume": [1000, 1100, 1200, 1150, 1300, 1250, 1400, 1350, 1500, 1450]}
 
 
@@ -39,6 +41,22 @@ def test_known_values(make, args, want):
     assert all(same(state.step(x, *args), w) for x, w in zip(column("close"), want, strict=True))
 
 
+@pytest.mark.parametrize("make,params,values", [(series.Ema, [9], 1), (series.Rma, [1], 1), (series.Rma, [300], 1), (series.Dema, [7], 1), (series.Macd, [5, 11, 4], 3), (series.Rsi, [6], 1), (series.Rsi, [1], 1)])
+@pytest.mark.parametrize("holes", [0.0, 0.1])
+def test_kernels_agree_with_the_states(make, params, values, holes):
+    r = random.Random(12)
+    xs = [NAN if r.random() < holes else r.choice([50.0, 51.5, r.uniform(40, 60)]) for _ in range(1000)]
+    slow, fast, got = make(), make(), []
+    want = [slow.step(x, *params) for x in xs]
+    cuts = [0, 1, 2, 9, 10, 200, 264, 900, 1000]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        got += list(zip(*[x.tolist() for x in kernels.steps(fast, [np.array(xs[a:b]), *params], b - a, values)], strict=True))
+    for w, g in zip(want, got, strict=True):
+        assert all(same(u, v) for u, v in zip(w if values > 1 else [w], g, strict=True))
+    # either can go on from the other
+    assert same(slow.step(55.0, *params) if values == 1 else slow.step(55.0, *params)[0], fast.step(55.0, *params) if values == 1 else fast.step(55.0, *params)[0])
+
+
 def test_freeze_and_poison():
     ema, sma, rsi = series.Ema(), series.Over(series.mean), series.Rsi()
     xs = [1.0, NAN, 3.0, 5.0, NAN, 7.0]

@@ -2,19 +2,18 @@
 
 Bars are dealt out by symbol and sorted; each task then runs through its rows batch by
 batch and keeps only the operators' states, so a symbol's length is not bounded by memory.
-All operators of a call share the pass.
+All operators of a call share the pass.  Where a state has a kernel (``functions.kernels``)
+it takes a symbol's rows of a batch at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions import series
+from tidewell.functions import kernels, series
 
 #: name -> (maker of a state, its bar inputs, where "" is the series that is given, values per bar)
 RECURSIVE = {
@@ -73,32 +72,34 @@ def scan(bars: DataFrame, *ops: tuple, symbol: str = "symbol", order: str = "bar
     keep = [c for c in bars.columns if c not in made]
     rows = bars.select(*keep)
 
-    def starts() -> list[tuple[Callable, list, int]]:
+    def starts() -> list[tuple[object, list, int]]:
+        """(state, its arguments as (whether it varies, place among needed or number), values) of each operator."""
         out = []
         for make, inputs, params, names in ops:
             at = [needed.index(c) for c in inputs] + [needed.index(p) if isinstance(p, str) else p for p in params]
-            out.append((make().step, [(isinstance(p, str) or k < len(inputs), a) for k, (p, a) in enumerate(zip([*inputs, *params], at, strict=True))], len(names)))
+            out.append((make(), [(isinstance(p, str) or k < len(inputs), a) for k, (p, a) in enumerate(zip([*inputs, *params], at, strict=True))], len(names)))
         return out
 
     def run(batches):
-        now, steps = None, None
+        now, states = None, None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64).tolist() for c in needed]
-            symbols = batch.column(symbol).to_pylist()
-            out: list[list] = [[] for _ in made]
-            for i, s in enumerate(symbols):
-                if steps is None or s != now:
-                    now, steps = s, starts()
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in needed]
+            codes = batch.column(symbol).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            out = [np.empty(len(codes)) for _ in made]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                own = batch.column(symbol)[a].as_py()
+                if states is None or own != now:
+                    now, states = own, starts()
                 k = 0
-                for step, args, values in steps:
-                    got = step(*[cols[a][i] if varies else a for varies, a in args])
-                    if values == 1:
-                        out[k].append(got)
-                    else:
-                        for j in range(values):
-                            out[k + j].append(got[j])
+                for state, args, values in states:
+                    got = kernels.steps(state, [cols[x][a:b] if varies else x for varies, x in args], b - a, values)
+                    for j in range(values):
+                        out[k + j][a:b] = got[j]
                     k += values
-            arrays = [pa.array(np.asarray(o, np.float64), from_pandas=True) for o in out]
+            arrays = [pa.array(o, from_pandas=True) for o in out]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *made])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{n}` double" for n in made])

@@ -28,6 +28,7 @@ class Study:
         self.line = Window.partitionBy(symbol).orderBy(order)
         self.past = self.line.rowsBetween(Window.unboundedPreceding, 0)
         self._held = 0
+        self._periods: dict[str, tuple[Column, list[str]]] = {}
 
     # -- plumbing --------------------------------------------------------------
 
@@ -366,16 +367,33 @@ class Study:
         bottom = (h - low) * v
         return F.when(bottom == 0, F.when(c.isNotNull(), F.lit(0.0))).otherwise(ratio(2 * c - h - low, bottom))
 
-    def pivot_point_levels(self, kind: str, anchor) -> Column:
-        """Array of P, R1, S1 .. R5, S5 of the period before the last anchor."""
+    def pivot_point_levels(self, kind: str, anchor, developing: bool = False) -> Column:
+        """Array of P, R1, S1 .. R5, S5 of the period before the last anchor, or of the one that runs, up to this bar. Kinds share what they need of an anchor."""
+        if developing and kind in ("Woodie", "DM"):
+            raise ValueError(f"{kind} levels cannot be developing")
+        key = str(anchor)
+        if key not in self._periods:
+            self._periods[key] = self._period(anchor)
+        group, before = self._periods[key]
+        if developing:
+            own = Window.partitionBy(self.symbol, group).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
+            none = F.lit(None).cast("double")
+            levels = pivot_levels(kind, none, self.hold(F.max("high").over(own)), self.hold(F.min("low").over(own)), F.col("close"), none)
+            return self.hold(F.array(*[F.lit(None).cast("double") if x is None else x for x in levels]))
+        levels = pivot_levels(kind, *map(F.col, before))
+        return self.hold(F.when(group > 0, F.array(*[F.lit(None).cast("double") if x is None else x for x in levels])))
+
+    def _period(self, anchor) -> tuple[Column, list[str]]:
+        """The number of anchors so far, and columns open, high, low, close of the period before and the first open of this one."""
+        n = len(self._periods)
         group = self.hold(F.sum(F.coalesce(col(anchor), F.lit(False)).cast("int")).over(self.past))
         i = F.col(self.order)
         sums = self.df.groupBy(F.col(self.symbol).alias("__sym"), group.alias("__g")).agg(F.max("high").alias("__h"), F.min("low").alias("__l"), F.max_by("close", F.when(F.col("close").isNotNull(), i)).alias("__c"), F.min_by("open", F.when(F.col("open").isNotNull(), i)).alias("__o"), F.min_by("open", i).alias("__first"))
         by = Window.partitionBy("__sym").orderBy("__g")
-        prev = sums.select("__sym", "__g", *[F.lag(c).over(by).alias(c) for c in ("__h", "__l", "__c", "__o")], F.col("__first"))
+        names = [f"__p{n}_{x}" for x in ("o", "h", "l", "c", "first")]
+        prev = sums.select("__sym", "__g", *[F.lag(c).over(by).alias(k) for k, c in zip(names, ("__o", "__h", "__l", "__c"), strict=False)], F.col("__first").alias(names[4]))
         self.df = self.df.join(prev, (F.col(self.symbol) == F.col("__sym")) & (group == F.col("__g")), "left").drop("__sym", "__g")
-        levels = pivot_levels(kind, *[F.col(c) for c in ("__o", "__h", "__l", "__c", "__first")])
-        return self.hold(F.when(group > 0, F.array(*[F.lit(None).cast("double") if x is None else x for x in levels])))
+        return group, names
 
 
 def pivot_levels(kind: str, opened: Column, high: Column, low: Column, close: Column, now_open: Column) -> list:
