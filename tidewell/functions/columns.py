@@ -177,6 +177,10 @@ def format_number(x, pattern: str = "") -> Column:
     return _udf(lib.format_number, "string", pattern)(x)
 
 
+def format_time(ms, form: str = "yyyy-MM-dd'T'HH:mm:ssZ") -> Column:
+    return _udf(lib.format_time, "string", form)(ms)
+
+
 def format_text(template: str, *xs) -> Column:
     return _udf(lambda *a: lib.format_text(template, *a), "string")(*xs)
 
@@ -368,6 +372,41 @@ def array_slice(a, start: int, end: int = -1) -> Column:
     return F.slice(_c(a), F.lit(start + 1), F.greatest(size - start, F.lit(0)))
 
 
+def array_new(n: int, v=None) -> Column:
+    return F.array_repeat(_c(v) if v is not None else F.lit(None).cast("double"), max(0, n))
+
+
+def array_set(a, i: int, v) -> Column:
+    """Places that are not there change nothing."""
+    return F.transform(_c(a), lambda x, k: F.when(k == i, _c(v)).otherwise(x))
+
+
+def array_fill(a, v, start: int = 0, end: int = -1) -> Column:
+    return F.transform(_c(a), lambda x, k: F.when((k >= start) & (F.lit(end < 0) | (k < end)), _c(v)).otherwise(x))
+
+
+def array_push(a, v) -> Column:
+    return F.concat(_c(a), F.array(_c(v)))
+
+
+def array_unshift(a, v) -> Column:
+    return F.concat(F.array(_c(v)), _c(a))
+
+
+def array_insert(a, i: int, v) -> Column:
+    return F.concat(F.slice(_c(a), 1, i), F.array(_c(v)), F.slice(_c(a), i + 1, F.greatest(F.size(_c(a)) - i, F.lit(0))))
+
+
+def array_without(a, i: int) -> Column:
+    """The array after the i-th element was removed; remove, pop (i = -1) and shift (0) return ``get`` of it."""
+    at = F.size(_c(a)) - 1 if i < 0 else F.lit(i)
+    return F.filter(_c(a), lambda _, k: k != at)
+
+
+def array_abs(a) -> Column:
+    return F.transform(_c(a), F.abs)
+
+
 def every(a) -> Column:
     return F.forall(_c(a), lambda v: F.coalesce(v != 0, F.lit(False)))
 
@@ -398,6 +437,13 @@ def map_remove(m, k) -> Column:
     return F.map_filter(_c(m), lambda key, _: key != _c(k))
 
 
+def map_put_all(m, other) -> Column:
+    """Keys of both; the other's values win, and its new keys come last."""
+    held = F.transform(F.map_entries(_c(m)), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(_c(other), e["key"]), e["value"]).alias("value")))
+    new = F.filter(F.map_entries(_c(other)), lambda e: ~F.map_contains_key(_c(m), e["key"]))
+    return F.map_from_entries(F.concat(held, new))
+
+
 map_keys, map_values, map_size = (lambda m: F.map_keys(_c(m))), (lambda m: F.map_values(_c(m))), (lambda m: F.size(_c(m)))
 
 # -- matrices: arrays of rows ---------------------------------------------------------------
@@ -417,6 +463,81 @@ def trace(m) -> Column:
     return _total(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.get(_c(m), i.cast("int")), i.cast("int"))))
 
 
+def cells(m) -> Column:
+    """All cells, row by row."""
+    return F.flatten(_c(m))
+
+
+def matrix_new(rows: int, cols: int, v) -> Column:
+    return F.array_repeat(F.array_repeat(_c(v), cols), rows)
+
+
+def matrix_row(m, i: int) -> Column:
+    return F.get(_c(m), F.lit(i))
+
+
+def matrix_col(m, j: int) -> Column:
+    return F.transform(_c(m), lambda row: F.get(row, F.lit(j)))
+
+
+def matrix_set(m, i: int, j: int, v) -> Column:
+    return F.transform(_c(m), lambda row, k: F.when(k == i, F.transform(row, lambda x, c: F.when(c == j, _c(v)).otherwise(x))).otherwise(row))
+
+
+def matrix_add_row(m, values, i: int | None = None) -> Column:
+    return array_push(m, values) if i is None else array_insert(m, i, values)
+
+
+def matrix_add_col(m, values, j: int | None = None) -> Column:
+    return F.zip_with(_c(m), _c(values), lambda row, v: array_push(row, v) if j is None else array_insert(row, j, v))
+
+
+def matrix_without_row(m, i: int = -1) -> Column:
+    return array_without(m, i)
+
+
+def matrix_without_col(m, j: int = -1) -> Column:
+    return F.transform(_c(m), lambda row: array_without(row, j))
+
+
+def matrix_swap_rows(m, a: int, b: int) -> Column:
+    return F.transform(_c(m), lambda row, k: F.when(k == a, F.get(_c(m), F.lit(b))).when(k == b, F.get(_c(m), F.lit(a))).otherwise(row))
+
+
+def matrix_swap_columns(m, a: int, b: int) -> Column:
+    return F.transform(_c(m), lambda row: F.transform(row, lambda x, k: F.when(k == a, F.get(row, F.lit(b))).when(k == b, F.get(row, F.lit(a))).otherwise(x)))
+
+
+def submatrix(m, r0: int = 0, r1: int = -1, c0: int = 0, c1: int = -1) -> Column:
+    return F.transform(array_slice(m, r0, r1), lambda row: array_slice(row, c0, c1))
+
+
+def matrix_concat(a, b, by_columns: bool = False) -> Column:
+    return F.zip_with(_c(a), _c(b), lambda x, y: F.concat(x, y)) if by_columns else F.concat(_c(a), _c(b))
+
+
+def reshape(m, rows: int, cols: int) -> Column:
+    return F.array(*[F.slice(cells(m), i * cols + 1, cols) for i in range(rows)])
+
+
+def matrix_sort(m, col: int = 0, descending: bool = False) -> Column:
+    """Rows by a column; equal ones keep their order."""
+    keyed = F.transform(_c(m), lambda row, k: F.struct((-F.get(row, F.lit(col)) if descending else F.get(row, F.lit(col))).alias("v"), k.alias("k"), row.alias("row")))
+    return F.transform(F.array_sort(keyed), lambda x: x["row"])
+
+
+def matrix_plus(a, b, sign: int = 1) -> Column:
+    """Cell by cell, of a matrix or number."""
+    if not isinstance(b, Column | str):
+        return F.transform(_c(a), lambda row: F.transform(row, lambda x: x + sign * F.lit(b)))
+    return F.zip_with(_c(a), _c(b), lambda x, y: F.zip_with(x, y, lambda u, v: u + sign * v))
+
+
+def matrix_mode(m) -> Column:
+    """The least of the commonest."""
+    return let(kept(cells(m)), lambda k: F.array_min(F.transform(F.array_distinct(k), lambda v: F.struct((-F.size(F.filter(k, lambda u: u == v))).alias("n"), v.alias("v"))))["v"])
+
+
 def row_steps(m) -> Column:
     return F.zip_with(F.slice(_c(m), 1, F.size(_c(m)) - 1), F.slice(_c(m), 2, F.size(_c(m)) - 1), lambda a, b: F.zip_with(a, b, lambda x, y: y - x))
 
@@ -445,7 +566,38 @@ inverse = _of_matrix("inv", "array<array<double>>", _LISTS)
 pseudo_inverse = _of_matrix("pinv", "array<array<double>>", _LISTS)
 eigenvalues = _of_matrix("eigenvalues", "array<double>", lambda x: list(map(float, x)))
 eigenvectors = _of_matrix("eigenvectors", "array<array<double>>", _LISTS)
-matrix_tests = {n: _of_matrix(n, "boolean") for n in lib.MATRICES if n.startswith("is_")}
+
+
+def _square(m: Column) -> Column:
+    return F.forall(m, lambda row: F.size(row) == F.size(m))
+
+
+def _cells_pass(test):
+    """Whether test(i, j, x) holds for all cells, na as 0."""
+    return lambda m: F.forall(F.transform(m, lambda row, i: F.forall(F.transform(row, lambda x, j: test(i, j, F.coalesce(x, F.lit(0.0)))), lambda ok: ok)), lambda ok: ok)
+
+
+def _near(x: Column) -> Column:
+    return F.abs(x) <= lib.EPS
+
+
+def _mirrored(sign: int):
+    return lambda m: _square(m) & F.forall(F.transform(m, lambda row, i: F.forall(F.transform(row, lambda x, j: _near(x + sign * F.get(F.get(m, j.cast("int")), i.cast("int")))), lambda ok: F.coalesce(ok, F.lit(False)))), lambda ok: ok)
+
+
+_TESTS = {
+    "is_square": _square,
+    "is_symmetric": _mirrored(-1),
+    "is_antisymmetric": _mirrored(1),
+    "is_diagonal": lambda m: _square(m) & _cells_pass(lambda i, j, x: (i == j) | _near(x))(m),
+    "is_antidiagonal": lambda m: _square(m) & _cells_pass(lambda i, j, x: (i + j == F.size(m) - 1) | _near(x))(m),
+    "is_identity": lambda m: _square(m) & _cells_pass(lambda i, j, x: _near(x - (i == j).cast("double")))(m),
+    "is_triangular": lambda m: _square(m) & (_cells_pass(lambda i, j, x: (j >= i) | _near(x))(m) | _cells_pass(lambda i, j, x: (j <= i) | _near(x))(m)),
+    "is_stochastic": lambda m: F.forall(m, lambda row: F.forall(row, lambda x: x >= -lib.EPS) & _near(_total(F.transform(row, lambda x: x.cast("double"))) - 1)),
+    "is_binary": _cells_pass(lambda i, j, x: (x == 0) | (x == 1)),
+    "is_zero": _cells_pass(lambda i, j, x: _near(x)),
+}
+matrix_tests = {name: (lambda m, test=test: test(_c(m))) for name, test in _TESTS.items()}
 
 
 def matrix_power(m, k: int) -> Column:
@@ -457,11 +609,7 @@ def matrix_power(m, k: int) -> Column:
 
 
 def kron(a, b) -> Column:
-    @F.pandas_udf("array<array<double>>")
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([_LISTS(lib.kron(_rows(x), _rows(y))) for x, y in zip(xs, ys, strict=True)], dtype=object)
-
-    return run(_c(a), _c(b))
+    return F.flatten(F.transform(_c(a), lambda ra: F.transform(_c(b), lambda rb: F.flatten(F.transform(ra, lambda x: F.transform(rb, lambda y: x * y))))))
 
 
 # -- colors ---------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ keep the same states per symbol as the batch scans do.
 from __future__ import annotations
 
 import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +19,35 @@ from pyspark.sql import functions as F
 SERIES = "symbol string, time timestamp, open double, high double, low double, close double, volume double"
 
 
-def ticks_to_bars(ticks: DataFrame, symbol: Column, time: Column, value: Column, every: str = "1 hour", late: str = "1 hour", volume: Column | None = None) -> DataFrame:
-    """symbol, time, open, high, low, close, volume; ticks later than ``late`` are left out. For append mode: a bar comes when its window is closed."""
-    rows = ticks.select(symbol.cast("string").alias("symbol"), time.cast("timestamp").alias("t"), value.cast("double").alias("v"), (F.lit(1.0) if volume is None else volume.cast("double")).alias("n"))
-    out = rows.withWatermark("t", late).groupBy("symbol", F.window("t", every).alias("w")).agg(F.min_by("v", "t").alias("open"), F.max("v").alias("high"), F.min("v").alias("low"), F.max_by("v", "t").alias("close"), F.sum("n").alias("volume"))
+def ticks_to_bars(ticks: DataFrame, symbol: Column, time: Column, value: Column, every: str = "1 hour", late: str = "1 hour", volume: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """symbol, time, open, high, low, close, volume; ticks later than ``late`` are left out. For append mode: a bar comes when its window is closed.
+
+    Ticks of equal time are ordered by ``tie``, else by value, so that bars do not depend on how ticks arrive.
+    """
+    v = value.cast("double")
+    rows = ticks.select(symbol.cast("string").alias("symbol"), time.cast("timestamp").alias("t"), v.alias("v"), (F.lit(1.0) if volume is None else volume.cast("double")).alias("n"), (v if tie is None else tie).alias("tie"))
+    at = F.struct("t", "tie")
+    out = rows.withWatermark("t", late).groupBy("symbol", F.window("t", every).alias("w")).agg(F.min_by("v", at).alias("open"), F.max("v").alias("high"), F.min("v").alias("low"), F.max_by("v", at).alias("close"), F.sum("n").alias("volume"))
     return out.select("symbol", F.col("w.start").alias("time"), "open", "high", "low", "close", "volume")
 
 
+def sessions(ticks: DataFrame, symbol: Column, time: Column, value: Column, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """symbol, start, until, ticks, low, high of runs of ticks with no pause of ``gap`` or more. For append mode, as bars."""
+    rows = ticks.select(symbol.cast("string").alias("symbol"), time.cast("timestamp").alias("t"), value.cast("double").alias("v"))
+    out = rows.withWatermark("t", late).groupBy("symbol", F.session_window("t", gap).alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return out.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("until"), "ticks", "low", "high")
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream has now, written to the session's shared folder and read back as a table."""
+    spark = stream.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    folder = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", folder + "/out").option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder + "/out")
+
+
 def running(bars: DataFrame, *ops: tuple) -> DataFrame:
     """A stream of bars with a double column for every value of the operators (see ``operators.scan.op``).
 
