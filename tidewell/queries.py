@@ -37,8 +37,13 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.from_events(e, F.col("event_type"), F.col("ts"), F.col("value"), "hour", tie=F.col("event_id"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Without the decimal numbers of ``round``, which cost more than most of what is rounded here."""
+    return F.rint((x.cast("double") + F.lit(NUDGE)) * F.lit(10.0**places)) / F.lit(10.0**places) + F.lit(0.0)
+
+
 def r6(x: Column) -> Column:
-    return F.round(x.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
+    return rounded(x, 6)
 
 
 def _register(name: str, query, sql: str | None = None) -> None:
@@ -313,7 +318,15 @@ scanned(
         adx="adx",
     ),
 )
-scanned("math_random", [scan.op("random", 0.0, 10.0)])
+#: The 32-bit shifts of the generator, and the mixing of its first state from the place of use (1).
+_MIXED = "SELECT xor(h, h >> 16) AS x FROM (SELECT (xor(h, h >> 13)::HUGEINT * 3266489909 % 4294967296)::BIGINT AS h FROM (SELECT (xor(h, h >> 16)::HUGEINT * 2246822507 % 4294967296)::BIGINT AS h FROM (SELECT xor(1::BIGINT, 2654435769::BIGINT) AS h)))"
+scanned(
+    "math_random",
+    [scan.op("random", 0.0, 10.0)],
+    f"""WITH RECURSIVE {BARS}, first_ AS ({_MIXED}), draws AS (SELECT -1::BIGINT AS i, x FROM first_ UNION ALL
+    SELECT i + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT i, xor(b, b >> 17) AS c FROM (SELECT i, xor(x, (x << 13) & 4294967295) AS b FROM draws WHERE i < (SELECT max(bar_index) FROM bars))))
+    SELECT symbol, bar_index::BIGINT AS bar_index, round(x / 4294967296.0::DOUBLE * 10, 6) + 0.0 AS random FROM bars JOIN draws ON i = bar_index""",
+)
 _VOLUME_INDEX = f"""WITH RECURSIVE {BARS}, src AS (SELECT *, CASE WHEN {lag('close')} <> 0 THEN (close - {lag('close')}) / {lag('close')} ELSE 0 END AS c, volume - {lag('volume')} AS d FROM bars),
 r AS (SELECT symbol, bar_index, 1::DOUBLE AS nvi, 1::DOUBLE AS pvi FROM src WHERE bar_index = 0 UNION ALL
 SELECT s.symbol, s.bar_index, CASE WHEN d < 0 THEN nvi + c * nvi ELSE nvi END, CASE WHEN d > 0 THEN pvi + c * pvi ELSE pvi END FROM r JOIN src s ON s.symbol = r.symbol AND s.bar_index = r.bar_index + 1)
@@ -351,7 +364,7 @@ g AS (SELECT symbol, h, arg_min(open, bar_index) AS open, max(high) AS high, min
 
 
 def htf_bars(spark, sf_dir):
-    return htf.higher(hourly(spark, sf_dir), "D").select("symbol", F.col("bar_index").cast("long").alias("bar_index"), "time_ms", "open", "high", "low", "close", "volume", "time_close")
+    return htf.higher(hourly(spark, sf_dir), "D", timed=True).select("symbol", F.col("bar_index").cast("long").alias("bar_index"), "time_ms", "open", "high", "low", "close", "volume", "time_close")
 
 
 _register("htf_bars", htf_bars, _DAYS + " SELECT symbol, h::BIGINT AS bar_index, time_ms, open, high, low, close, volume, coalesce(lead(time_ms) OVER w, 2 * time_ms - lag(time_ms) OVER w, time_ms)::BIGINT AS time_close FROM g WINDOW w AS (PARTITION BY symbol ORDER BY h)")
@@ -359,7 +372,7 @@ _register("htf_bars", htf_bars, _DAYS + " SELECT symbol, h::BIGINT AS bar_index,
 
 def security_query(name: str, lookahead: bool, gaps: bool) -> None:
     def query(spark, sf_dir):
-        out = htf.security(hourly(spark, sf_dir), "D", {"d_close": "close", "d_volume": "volume", "d_sma": lambda s: s.sma("close", 3), "d_back": lambda s: s.lag("high", 1)}, lookahead, gaps)
+        out = htf.security(hourly(spark, sf_dir), "D", {"d_close": "close", "d_volume": "volume", "d_sma": lambda s: s.sma("close", 3), "d_back": lambda s: s.lag("high", 1)}, lookahead, gaps, timed=True)
         return out.select("symbol", F.col("bar_index").cast("long").alias("bar_index"), *[r6(F.col(c)).alias(c) for c in ("d_close", "d_volume", "d_sma", "d_back")])
 
     shown = [("d_close", "k.close"), ("d_volume", "k.volume"), ("d_sma", "k.sma"), ("d_back", "k.back")]
@@ -415,11 +428,11 @@ scalars(
 scalars(
     "str_tostring",
     "part",
-    lambda: {"t_plain": C.tostring("p_retailprice"), "t_percent": C.tostring("p_retailprice", "percent"), "t_two": C.tostring("p_retailprice", "#.##"), "t_whole": C.tostring("p_retailprice", "integer"), "t_volume": C.tostring(F.col("p_retailprice") * 1000, "volume"), "t_number": C.format_number("p_retailprice", "#.#"), "t_text": C.format_text("{0}: {1,number,#.##}", F.col("p_brand"), F.col("p_retailprice"))},
+    lambda: {"t_plain": C.tostring("p_retailprice"), "t_percent": C.tostring("p_retailprice", "percent"), "t_two": C.tostring("p_retailprice", "#.##"), "t_whole": C.tostring("p_retailprice", "integer"), "t_volume": C.tostring(F.col("p_retailprice") * 1000, "volume"), "t_number": C.format_number("p_retailprice", "0.00"), "t_time": C.format_time(F.col("p_partkey").cast("long") * 133_200_000, "yyyy-MM-dd HH:mm:ss"), "t_text": C.format_text("{0}: {1,number,#.##}", F.col("p_brand"), F.col("p_retailprice"))},
     "p_partkey",
-    "",
+    """WITH p AS (SELECT *, printf('%.2f', p_retailprice) AS two, p_retailprice * 1000 AS v FROM part)
+    SELECT p_partkey, p_retailprice::DOUBLE::VARCHAR AS t_plain, two || '%' AS t_percent, two AS t_two, trunc(p_retailprice)::BIGINT::VARCHAR AS t_whole, CASE WHEN v >= 1000000 THEN printf('%.2f', v / 1000000) || 'M' ELSE printf('%.2f', v / 1000) || 'K' END AS t_volume, two AS t_number, strftime(make_timestamp(p_partkey * 133200000000), '%Y-%m-%d %H:%M:%S') AS t_time, p_brand || ': ' || two AS t_text FROM p""",
 )
-ORACLE_SQL.pop("str_tostring", None)
 scalars(
     "time_scalars",
     "orders",
@@ -486,7 +499,7 @@ plot(math.sum(volume, 4), "volume4")
 
 
 def script_cross(spark, sf_dir):
-    out = script.run(hourly(spark, sf_dir), CROSS)
+    out = script.plots(hourly(spark, sf_dir), CROSS)
     return out.select("symbol", "bar_index", r6(F.col("plot_0")).alias("fast"), F.col("plot_1").cast("long").alias("ups"), r6(F.col("plot_2")).alias("volume4"))
 
 
@@ -502,7 +515,7 @@ plot(request.security(syminfo.tickerid, "D", volume, lookahead=barmerge.lookahea
 
 
 def script_security(spark, sf_dir):
-    out = script.run(hourly(spark, sf_dir), DAILY, chart_tf="60")
+    out = script.plots(hourly(spark, sf_dir), DAILY, chart_tf="60")
     return out.select("symbol", "bar_index", r6(F.col("plot_0")).alias("d_close"), r6(F.col("plot_1")).alias("d_sma"), r6(F.col("plot_2")).alias("d_volume"))
 
 
@@ -553,7 +566,7 @@ plot(m.det(), "det")
 
 
 def script_state(spark, sf_dir):
-    out = script.run(hourly(spark, sf_dir), STATE)
+    out = script.plots(hourly(spark, sf_dir), STATE)
     return out.select("symbol", "bar_index", *[r6(F.col(f"plot_{i}")).alias(c) for i, c in enumerate(("up", "best", "median_", "seen", "back", "kind", "det"))])
 
 
@@ -603,11 +616,31 @@ _register(
 )
 
 
+#: Figures at the last close, from its row z, the trades' sums s, the extremes dd of equity and what equity was then, th.
+SUMMED = {
+    "position_size": "2.0 * on_", "position_avg_price": "CASE WHEN on_ = 1 THEN entry END", "equity": "10000 + net + op", "openprofit": "op", "openprofit_percent": "100 * op / (10000 + net)", "netprofit": "net", "netprofit_percent": "net / 100", "grossprofit": "gains", "grossprofit_percent": "gains / 100", "grossloss": "losses", "grossloss_percent": "losses / 100", "closedtrades": "n", "opentrades": "on_", "wintrades": "won", "losstrades": "lost", "eventrades": "n - won - lost", "avg_trade": "a", "avg_trade_percent": "ap", "avg_winning_trade": "w", "avg_winning_trade_percent": "wp", "avg_losing_trade": "l", "avg_losing_trade_percent": "lp", "max_drawdown": "down", "max_drawdown_percent": "100 * down / peak_then", "max_runup": "up", "max_runup_percent": "100 * up / trough_then", "max_contracts_held_all": "2 * held", "max_contracts_held_long": "2 * held", "max_contracts_held_short": "0", "initial_capital": "10000", "default_qty_value": "2",
+}
+
+
 def strategy_summary(spark, sf_dir):
     return script.summary(hourly(spark, sf_dir), STRATEGY).select("symbol", "name", r6(F.col("value")).alias("value"))
 
 
-_register("strategy_summary", strategy_summary)
+_register(
+    "strategy_summary",
+    strategy_summary,
+    _MARKS
+    + f""", g AS (SELECT *, last_value(CASE WHEN move = 1 THEN open END IGNORE NULLS) {win()} AS entry FROM e), h AS (SELECT *, sum(CASE WHEN move = -1 THEN 2 * (open - entry) ELSE 0 END) {win()} AS net, CASE WHEN on_ = 1 THEN 2 * (close - entry) ELSE 0 END AS op FROM g),
+    pk AS (SELECT *, greatest(10000, max(10000 + net + op) {win()}) AS peak, least(10000, min(10000 + net + op) {win()}) AS trough, 10000 + net + op AS eq FROM h),
+    dd AS (SELECT symbol, max(peak - eq) AS down, max(eq - trough) AS up, max(on_) AS held FROM pk GROUP BY 1),
+    th AS (SELECT pk.symbol, arg_min(peak, bar_index) FILTER (WHERE peak - eq = dd.down) AS peak_then, arg_min(trough, bar_index) FILTER (WHERE eq - trough = dd.up) AS trough_then FROM pk JOIN dd ON pk.symbol = dd.symbol GROUP BY 1),
+    z AS (SELECT symbol, arg_max(net, bar_index) AS net, arg_max(op, bar_index) AS op, arg_max(on_, bar_index) AS on_, arg_max(entry, bar_index) AS entry FROM h GROUP BY 1),
+    tr AS (SELECT symbol, 2 * (open - entry) AS p, (open - entry) / entry * 100 AS pp FROM g WHERE move = -1),
+    s AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE p > 0) AS won, count(*) FILTER (WHERE p < 0) AS lost, coalesce(sum(p) FILTER (WHERE p > 0), 0) AS gains, coalesce(-sum(p) FILTER (WHERE p < 0), 0) AS losses, avg(p) AS a, avg(pp) AS ap, avg(p) FILTER (WHERE p > 0) AS w, avg(pp) FILTER (WHERE p > 0) AS wp, avg(-p) FILTER (WHERE p < 0) AS l, avg(-pp) FILTER (WHERE p < 0) AS lp FROM tr GROUP BY 1),
+    y AS (SELECT z.symbol, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in SUMMED.items())}
+      FROM z JOIN s USING (symbol) JOIN dd USING (symbol) JOIN th USING (symbol))
+    SELECT symbol, name, round(value, 6) + 0.0 AS value FROM (FROM y UNPIVOT INCLUDE NULLS (value FOR name IN ({', '.join(SUMMED)})))""",
+)
 
 DRAWN = """//@version=5
 indicator("Marks", overlay=true)
@@ -627,12 +660,33 @@ def script_drawings(spark, sf_dir):
 _register("script_drawings", script_drawings, f"WITH {BARS} SELECT symbol, bar_index::BIGINT AS bar_index, 'label' AS kind, bar_index::VARCHAR AS text, round(low, 6) + 0.0 AS y FROM bars WHERE bar_index % 50 = 0")
 
 
+_IF = "//@version=5\nindicator('c')\nx = 0\n{}\n    x := 1\n{}\nplot(x)\n"
+#: name -> (script, whether it compiles)
+CHECKED = {
+    "cross": (CROSS, True),
+    "strategy": (STRATEGY, True),
+    "drawn": (DRAWN, True),
+    "broken": ("x = (1", False),
+    "unknown_name": ("plot(nothing_of_that_name)", False),
+    "never_declared": ("x := 1", False),
+    "missing_argument": ("plot(ta.sma(close))", False),
+    "lazy_in_first_condition": (_IF.format("if close > 2 and ta.crossover(close, open)", "else\n    x := 2"), True),
+    "first_in_further_condition": (_IF.format("if close > 2", "else if ta.crossover(close, open) and close > 3\n    x := 2"), True),
+    "lazy_in_further_condition": (_IF.format("if close > 1", "else if close > 2 and ta.crossover(close, open)\n    x := 2"), False),
+    "choice_in_further_condition": (_IF.format("if close > 1", "else if (close > 2 ? ta.rising(close, 2) : false)\n    x := 2"), False),
+    "lazy_in_while": (_IF.format("while x < 1 and ta.rising(close, 2)", ""), False),
+    "direct_in_while": (_IF.format("while ta.rising(close, 2) and x < 1", ""), True),
+    "lazy_in_case": ("//@version=5\nindicator('c')\nx = switch\n    close > 1 or ta.falling(close, 2) => 1\n    => 2\nplot(x)\n", False),
+    "named_before": ("//@version=5\nindicator('c')\nc = ta.crossover(close, open)\nx = switch\n    close > 1 or c => 1\n    => 2\nplot(x)\n", True),
+}
+
+
 def script_check(spark, sf_dir):
-    texts = spark.createDataFrame([("cross", CROSS), ("strategy", STRATEGY), ("drawn", DRAWN), ("broken", "x = (1")], "path string, value string")
+    texts = spark.createDataFrame([(k, text) for k, (text, _) in CHECKED.items()], "path string, value string")
     return script.check(texts).select("name", "ok")
 
 
-_register("script_check", script_check, "SELECT * FROM (VALUES ('cross', TRUE), ('strategy', TRUE), ('drawn', TRUE), ('broken', FALSE)) t(name, ok)")
+_register("script_check", script_check, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(ok).upper()})" for k, (_, ok) in CHECKED.items()) + ") t(name, ok)")
 
 
 def hourly_cross(spark, sf_dir):
@@ -644,6 +698,10 @@ def hourly_cross(spark, sf_dir):
     return out.select("symbol", F.col("bar_index").cast("long").alias("bar_index"), r6(F.col("close")).alias("close"), r6(F.col("ema")).alias("ema"), r6(F.col("sma")).alias("sma"), "over")
 
 
-_register("hourly_cross", hourly_cross)
+_register(
+    "hourly_cross",
+    hourly_cross,
+    f"WITH RECURSIVE {BARS}, " + smooth("a", "bars", {"ema": ema_("close", 9)}) + f", b AS (SELECT *, {full('close', 14, f'avg(close) {win(14)}')} AS slow FROM a) SELECT symbol, bar_index::BIGINT AS bar_index, round(close, 6) + 0.0 AS close, round(ema, 6) + 0.0 AS ema, round(slow, 6) + 0.0 AS sma, coalesce({lag('ema')} <= {lag('slow')} AND ema > slow, FALSE) AS over FROM b",
+)
 
 ORACLE_SQL = {k: v.replace(", 6) + 0.0", f" + {NUDGE!r}, 6) + 0.0") for k, v in ORACLE_SQL.items()}
