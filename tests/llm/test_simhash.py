@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewell.llm import simhash
 from tidewell.llm.components import components
@@ -79,3 +80,7 @@ def test_near_duplicates(spark):
     kept = simhash.one_of_each(df).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 8, None] and {r.component_id for r in kept} == {"x"}
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+    clash = df.withColumn("__key", F.lit(5)).withColumn("__ID", F.lit("k")).withColumn("__text", F.lit(1.5))
+    assert [(r["__key"], r["__ID"], r["__text"]) for r in simhash.one_of_each(clash).collect()] == [(5, "k", 1.5)] * 4
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(df, most=3)

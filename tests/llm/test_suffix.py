@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import suffix
@@ -68,6 +70,33 @@ def test_repeats_equal_brute_force(spark, seed, least, most, alphabet):
     assert got(suffix.repeats(df, least, most=most)) == brute(docs, least)
 
 
+@pytest.mark.parametrize("keep,most", [(3, 2), (0, 1)])
+def test_grams_of_one_hash_are_told_apart(spark, keep, most):
+    class Few(suffix.Cutter):
+        """Hashes of two bits, or all the same."""
+
+        def hashes(self, text):
+            return super().hashes(text) & np.uint64(keep)
+
+    docs = [(i, t) for i, t in enumerate(texts(8, 40, "abcd ", size=40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert got(suffix.repeats(df, 12, most=most, cutter=Few)) == brute(docs, 12)
+
+
+def test_trunk_of_another_gram_repeats_nothing():
+    row = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([b"x" * 60 + b"B" * 32 + b"y" * 60], pa.binary()), pa.array([9]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([60], pa.int32()), pa.array([b"x" * 60 + b"A" * 32 + b"y" * 60], pa.binary()), pa.array([60], pa.int32())], ["key", "content", "did", "rank", "start", "anchor", "trunk", "spot"])
+    (out,) = list(suffix._branch(100, 32)([row]))
+    assert out.column("key").null_count == 0 and out.num_rows == 1 and out.column("content")[0].as_py() == row.column(1)[0].as_py()
+
+
+def test_ids(spark):
+    with pytest.raises(TypeError):
+        suffix.repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    t = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))[:130]
+    out = {r.doc_id: len(r.kept) for r in suffix.repeats(spark.createDataFrame([(None, t), (2**63 - 1, t)], "doc_id long, text string")).collect()}
+    assert out == {None: 0, 2**63 - 1: 130}
+
+
 def test_long_periodic_text(spark):
     alone = [(1, "q" * 300), (2, "Stone. " * 40), (3, "".join(map(str, range(90))))]
     assert got(suffix.repeats(spark.createDataFrame(alone, "doc_id long, text string"))) == brute(alone, 100)
