@@ -24,7 +24,7 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
     """The task is the named operator's; ``clear`` empties its cache when another one's begins."""
     if _now != [name]:
         _now[:] = [name]
-        gc.set_threshold(100_000, 20, 20)  # operators make millions of small objects, few in cycles
+        gc.set_threshold(1_000_000, 50, 100)  # operators make millions of small objects, few in cycles
         for other in [k for k in _held if k != name]:
             _held.pop(other)()
         release()
